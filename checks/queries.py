@@ -41,6 +41,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 YEAR = 365
+TREES = 20
 FORECAST_HEADERS = ["Date", "Stock-Code", "Market ID", "Actual Qty", "Model Forecast"]
 SOURCES = {"model": "moving_average_28", "naive": "naive_last_value"}
 
@@ -447,7 +448,7 @@ def modeling(spark, folder):
     if key not in _runs:
         rows = mart(spark, folder)
         baselines = B.baseline_metrics(all_baselines(spark, folder))
-        _runs[key] = L.run_modeling(X.feature_matrix(rows), baselines, holdout_days=YEAR)
+        _runs[key] = L.run_modeling(X.feature_matrix(rows), baselines, YEAR, TREES)
     return _runs[key]
 
 
