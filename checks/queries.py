@@ -33,7 +33,7 @@ from shelfline.schema import (
     normalize_column_names,
     normalize_dashboard_columns,
 )
-from shelfline.session import scratch_path
+from shelfline.session import hand_over, scratch_path
 from shelfline.sources import fixtures as src
 from shelfline.sources import io
 
@@ -72,17 +72,27 @@ def mart(spark, folder):
     return M.daily_sales_mart(fact(spark, folder))
 
 
+def mart_table(spark, folder):
+    """The mart as a stored table, for queries that read it more than once."""
+    return hand_over(mart(spark, folder), "mart")
+
+
+def mart_days(spark, folder):
+    """Rows that hold the mart's dates, without building the mart."""
+    return M.with_mart_keys(fact(spark, folder))
+
+
 def raw(spark, folder):
     return normalize_column_names(src.raw_transactions(spark, folder))
 
 
 def forecast(spark, folder, days=YEAR):
-    return baseline_forecast(mart(spark, folder), holdout_days=days)
+    return baseline_forecast(mart_table(spark, folder), holdout_days=days)
 
 
 def all_baselines(spark, folder, days=YEAR):
     """Mart rows of the last dates with all baselines as columns."""
-    rows = mart(spark, folder).select(*MART_KEYS, TARGET)
+    rows = mart_table(spark, folder).select(*MART_KEYS, TARGET)
     return V.train_holdout_split(B.add_baselines(rows), DATE, days)[1]
 
 
@@ -322,37 +332,35 @@ def best_baseline(spark, folder):
 # Validation -----------------------------------------------------------------------------
 
 
-def _roles(train: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    return train.withColumn("role", F.lit("train")).unionByName(other.withColumn("role", F.lit(name)))
-
-
 @query
 def train_holdout_split(spark, folder):
-    rows = mart(spark, folder).select(*MART_KEYS, TARGET)
-    return _roles(*V.train_holdout_split(rows, DATE, 28), "holdout")
+    return V.label_holdout(mart_table(spark, folder).select(*MART_KEYS, TARGET), DATE, 28)
 
 
 @query
 def make_time_splits(spark, folder):
-    return V.make_time_splits(mart(spark, folder), DATE, 3, 28)
+    return V.make_time_splits(mart_days(spark, folder), DATE, 3, 28)
 
 
 @query
 def make_time_series_folds(spark, folder):
-    return V.make_time_series_folds(mart(spark, folder), 28, 4, gap=7)
+    return V.make_time_series_folds(mart_days(spark, folder), 28, 4, gap=7)
 
 
 @query
 def split_by_fold(spark, folder):
     rows = mart(spark, folder).select(*MART_KEYS, TARGET)
-    last = V.make_time_splits(rows, DATE, 3, 28).where("split = 2").first()
-    return _roles(*V.split_by_fold(rows, last), "valid")
+    fold = V.make_time_splits(mart_days(spark, folder), DATE, 3, 28).where("split = 2").first()
+    train, valid = V.split_by_fold(rows, fold)
+    return train.withColumn("role", F.lit("train")).unionByName(
+        valid.withColumn("role", F.lit("valid"))
+    )
 
 
 @query
 def assign_folds(spark, folder):
     rows = mart(spark, folder).select(*MART_KEYS, TARGET)
-    return V.assign_folds(rows, V.make_time_splits(rows, DATE, 3, 28))
+    return V.assign_folds(rows, V.make_time_splits(mart_days(spark, folder), DATE, 3, 28))
 
 
 # Metrics --------------------------------------------------------------------------------
@@ -420,13 +428,13 @@ def abc_xyz_compat(spark, folder):
 
 
 def model_features(spark, folder):
-    return X.feature_matrix(mart(spark, folder))
+    return hand_over(X.feature_matrix(mart(spark, folder)), "features")
 
 
 @query
 def feature_columns(spark, folder):
     """Rows in which each model feature has a value."""
-    rows = model_features(spark, folder)
+    rows = X.feature_matrix(mart(spark, folder))
     names = L.feature_columns(rows)
     known = rows.agg(*(F.count(c).alias(c) for c in names))
     return known.unpivot([], names, "feature", "known_rows")
@@ -435,8 +443,10 @@ def feature_columns(spark, folder):
 @query
 def prepare_train_test(spark, folder):
     train, test, names = L.prepare_train_test(model_features(spark, folder))
-    columns = [*MART_KEYS, TARGET, *names]
-    return _roles(train.select(*columns), test.select(*columns), "holdout")
+    sides = {"train": train, "holdout": test}
+    labelled = [df.withColumn("role", F.lit(role)) for role, df in sides.items()]
+    columns = [*MART_KEYS, TARGET, *names, "role"]
+    return labelled[0].unionByName(labelled[1]).select(*columns)
 
 
 _runs: dict[tuple[str, str], dict[str, object]] = {}
@@ -446,7 +456,7 @@ def modeling(spark, folder):
     """One training run per session and folder serves all model queries."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _runs:
-        rows = mart(spark, folder)
+        rows = mart_table(spark, folder)
         baselines = B.baseline_metrics(all_baselines(spark, folder))
         _runs[key] = L.run_modeling(X.feature_matrix(rows), baselines, YEAR, TREES)
     return _runs[key]
@@ -470,13 +480,9 @@ def compare_with_best_baseline(spark, folder):
 @query
 def compare_baseline_with_best(spark, folder):
     """The comparison with a baseline standing in for the model."""
-    table = B.baseline_metrics(all_baselines(spark, folder))
-    own = E.evaluate(
-        all_baselines(spark, folder).where(F.col("moving_average_28").isNotNull()),
-        TARGET,
-        "moving_average_28",
-    )
-    return L.compare_with_best_baseline(own, table)
+    rows = hand_over(all_baselines(spark, folder), "baselines")
+    own = E.evaluate(rows, TARGET, "moving_average_28")
+    return L.compare_with_best_baseline(own, B.baseline_metrics(rows))
 
 
 @query
@@ -597,7 +603,8 @@ def dashboard_rows(spark, folder, days=YEAR):
 
 
 def dashboard(spark, folder):
-    return dashboard_from_mart(mart(spark, folder), forecast(spark, folder))
+    rows = mart_table(spark, folder)
+    return dashboard_from_mart(rows, hand_over(baseline_forecast(rows, holdout_days=YEAR), "forecast"))
 
 
 @query
@@ -608,7 +615,7 @@ def group_metrics(spark, folder):
 @query
 def choose_inventory_source(spark, folder):
     table = I.risk_table_by_source(all_baselines(spark, folder), SOURCES)
-    return D.choose_inventory_source(table)
+    return D.choose_inventory_source(hand_over(table, "risk"))
 
 
 @query
@@ -624,8 +631,12 @@ def dashboard_dataset(spark, folder):
 @query
 def dashboard_by_source(spark, folder):
     """The dashboard with its stock columns taken from the table of all sources."""
-    table = I.risk_table_by_source(all_baselines(spark, folder), SOURCES)
-    return D.dashboard_dataset(forecast(spark, folder), segments(spark, folder), table)
+    rows = mart_table(spark, folder)
+    late = V.train_holdout_split(B.add_baselines(rows, list(SOURCES.values())), DATE, YEAR)[1]
+    scored = hand_over(late.select(*MART_KEYS, TARGET, *SOURCES.values()), "baselines")
+    table = hand_over(I.risk_table_by_source(scored, SOURCES), "risk")
+    predicted = scored.withColumnRenamed(SOURCES["model"], FORECAST).dropna(subset=[FORECAST])
+    return D.dashboard_dataset(predicted.select(*MART_KEYS, TARGET, FORECAST), G.abc_xyz_segments(rows), table)
 
 
 @query
@@ -640,7 +651,8 @@ def error_by_market(spark, folder):
 
 @query
 def error_by_segment(spark, folder):
-    return R.error_by_segment(forecast(spark, folder), segments(spark, folder))
+    rows = mart_table(spark, folder)
+    return R.error_by_segment(baseline_forecast(rows, holdout_days=YEAR), G.abc_xyz_segments(rows))
 
 
 @query
@@ -660,18 +672,23 @@ def abc_xyz_matrix(spark, folder):
 
 @query
 def risk_matrix(spark, folder):
-    return R.risk_matrix(policy(spark, folder), segments(spark, folder))
+    rows = mart_table(spark, folder)
+    risks = I.inventory_metrics(baseline_forecast(rows, holdout_days=YEAR))
+    return R.risk_matrix(risks, G.abc_xyz_segments(rows))
 
 
 @query
 def model_vs_baseline_by_segment(spark, folder):
-    return R.forecasts_by_segment(all_baselines(spark, folder), segments(spark, folder), SOURCES)
+    rows = mart_table(spark, folder)
+    late = V.train_holdout_split(B.add_baselines(rows, list(SOURCES.values())), DATE, YEAR)[1]
+    return R.forecasts_by_segment(late, G.abc_xyz_segments(rows), SOURCES)
 
 
 @query
 def revenue_vs_error(spark, folder):
-    stats = G.segment_stats(mart(spark, folder))
-    return R.revenue_vs_error(stats, D.group_metrics(dashboard_rows(spark, folder)))
+    rows = mart_table(spark, folder)
+    errors = D.group_metrics(normalize_dashboard_columns(baseline_forecast(rows, holdout_days=YEAR)))
+    return R.revenue_vs_error(G.segment_stats(rows), errors)
 
 
 @query

@@ -16,7 +16,7 @@ from shelfline.functions.metrics import evaluate
 from shelfline.operators.baselines import best_baseline
 from shelfline.operators.validation import train_holdout_split
 from shelfline.schema import DATE, FORECAST, SERIES_KEYS, TARGET, require_columns
-from shelfline.session import cut_lineage, scratch_path
+from shelfline.session import hand_over, scratch_path
 
 # Same-day outcomes that a forecast must not see.
 LEAKAGE_COLUMNS = [
@@ -92,7 +92,7 @@ def train_model(
     seed: int = SEED,
 ) -> DemandModel:
     """Fit the trees; missing features are set to the training median."""
-    rows = cut_lineage(_model_input(train.select(target, *names), names))
+    rows = _model_input(train.select(target, *names), names).persist()
     known = rows.agg(*(F.count(f"_x_{n}").alias(n) for n in names)).first().asDict()
     if not any(known.values()):
         raise ValueError("no feature of the training rows has a value")
@@ -111,7 +111,9 @@ def train_model(
             seed=seed,
         ),
     ]
-    return DemandModel(Pipeline(stages=stages).fit(rows), names, used)
+    fitted = Pipeline(stages=stages).fit(rows)
+    rows.unpersist()
+    return DemandModel(fitted, names, used)
 
 
 def predict_non_negative(model: DemandModel, df: DataFrame) -> DataFrame:
@@ -179,11 +181,14 @@ def run_modeling(
     trees: int = TREES,
 ) -> dict[str, object]:
     """Split, fit, forecast, score and compare; every part is returned under its name."""
-    train, holdout, names = prepare_train_test(cut_lineage(features), holdout_days=holdout_days)
+    train, holdout, names = prepare_train_test(
+        hand_over(features, "features"), holdout_days=holdout_days
+    )
     model = train_model(train, names, trees=trees)
     if holdout.isEmpty():
         raise ValueError("the holdout has no rows")
     forecast = predict_non_negative(model, holdout)
+    forecast = hand_over(forecast, "forecast")
     metrics = evaluate(forecast, TARGET, FORECAST)
     return {
         "model": model,

@@ -26,9 +26,15 @@ def _range_blocks(df: DataFrame, order: list[Column], blocks: int | None) -> Dat
 
 
 def running_total(
-    df: DataFrame, value: Column, order: list[Column], name: str, blocks: int | None = None
+    df: DataFrame,
+    value: Column,
+    order: list[Column],
+    name: str,
+    blocks: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Add `name`: the sum of `value` over this row and all before it in `order`.
+    """Add `name`: the sum of `value` over this row and all before it in `order`; and, when
+    asked for, `total`: its sum over all rows.
 
     `order` must be a full sort key.  Block sums number at most one per shuffle partition.
     """
@@ -37,12 +43,15 @@ def running_total(
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_block", F.sum("_sum").over(earlier).alias("_start"))
     inside = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    ranked = (
         blocked.withColumn("_inside", F.sum("_value").over(inside))
         .join(F.broadcast(starts), "_block")
         .withColumn(name, F.coalesce(F.col("_start") + F.col("_inside"), F.col("_inside")))
         .drop("_block", "_value", "_start", "_inside")
     )
+    if total is None:
+        return ranked
+    return ranked.withColumn(total, sums.agg(F.sum("_sum").alias("all")).scalar())
 
 
 def with_frames(

@@ -64,12 +64,13 @@ def daily_actual_vs_forecast(rows: DataFrame) -> DataFrame:
 
 def abc_xyz_matrix(segments: DataFrame) -> DataFrame:
     """Groups and share of revenue per ABC row and XYZ column."""
-    total = segments.agg(F.sum("revenue").alias("total")).scalar()
     cells = (
         segments.groupBy("abc_segment")
         .pivot("xyz_segment", ["X", "Y", "Z"])
         .agg(F.count(F.lit(1)).alias("groups"), F.sum("revenue").alias("revenue"))
     )
+    parts = [F.coalesce(F.sum(f"{x}_revenue"), F.lit(0.0)) for x in "XYZ"]
+    total = cells.agg((parts[0] + parts[1] + parts[2]).alias("total")).scalar()
     return cells.select(
         "abc_segment",
         *(F.coalesce(f"{x}_groups", F.lit(0)).alias(f"{x}_groups") for x in "XYZ"),
@@ -119,11 +120,12 @@ def revenue_vs_error(stats: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def top_revenue_products(mart: DataFrame, n: int = 20) -> DataFrame:
-    total = mart.agg(F.sum("revenue").alias("total")).scalar()
+    products = mart.groupBy("stock_code").agg(
+        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")
+    )
+    total = products.agg(F.sum("revenue").alias("total")).scalar()
     return (
-        mart.groupBy("stock_code")
-        .agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"))
-        .orderBy(F.desc("revenue"), "stock_code")
+        products.orderBy(F.desc("revenue"), "stock_code")
         .limit(n)
         .withColumn("revenue_share", F.coalesce(F.try_divide(F.col("revenue"), total), F.lit(0.0)))
     )

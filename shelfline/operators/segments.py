@@ -38,10 +38,9 @@ def add_abc_segment(
     exact = F.coalesce(F.col(value).cast(EXACT), F.lit(0).cast(EXACT))
     order = [F.desc("_exact"), *(F.col(key) for key in keys)]
     ranked = running_total(
-        df.withColumn("_exact", exact), F.col("_exact"), order, "_running", blocks
+        df.withColumn("_exact", exact), F.col("_exact"), order, "_running", blocks, "_total"
     )
-    total = ranked.agg(F.sum("_exact").alias("total")).scalar()
-    split = ranked.withColumns({"_total": total, "_before": F.col("_running") - F.col("_exact")})
+    split = ranked.withColumn("_before", F.col("_running") - F.col("_exact"))
     earning = F.col("_total") > 0
 
     def below(percent: int):

@@ -42,6 +42,15 @@ def holdout_start(df: DataFrame, date_column: str = DATE, holdout_days: int = 28
     return start.scalar()
 
 
+def label_holdout(
+    df: DataFrame, date_column: str = DATE, holdout_days: int = 28, name: str = "role"
+) -> DataFrame:
+    """Both sides of the split in one pass: `name` is train or holdout."""
+    late = _day(date_column) >= holdout_start(df, date_column, holdout_days)
+    dated = df.where(F.col(date_column).isNotNull())
+    return dated.withColumn(name, F.when(late, "holdout").otherwise("train"))
+
+
 def train_holdout_split(
     df: DataFrame, date_column: str = DATE, holdout_days: int = 28
 ) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from shelfline.operators.mart import daily_sales_mart, prepare_transactions
 from shelfline.operators.segments import abc_xyz_segments
 from shelfline.operators.validation import train_holdout_split
 from shelfline.schema import DATE, FORECAST, SERIES_KEYS, TARGET
+from shelfline.session import hand_over
 from shelfline.sources.io import register_views
 
 
@@ -28,8 +29,8 @@ def baseline_forecast(
 def sql_stages(transactions: DataFrame, holdout_days: int = 28) -> dict[str, DataFrame]:
     """Register and return every stage of the SQL chain."""
     fact = prepare_transactions(transactions)
-    mart = daily_sales_mart(fact)
-    forecast = baseline_forecast(mart, holdout_days=holdout_days)
+    mart = hand_over(daily_sales_mart(fact), "mart")
+    forecast = hand_over(baseline_forecast(mart, holdout_days=holdout_days), "forecast")
     stages = {
         "fct_transactions": fact,
         "mart_daily_sales": mart,
@@ -42,7 +43,10 @@ def sql_stages(transactions: DataFrame, holdout_days: int = 28) -> dict[str, Dat
 
 
 def dashboard_from_mart(mart: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Dashboard of a forecast, with segments and policy derived from the same data."""
+    """Dashboard of a forecast, with segments and policy derived from the same data.
+
+    Both inputs are read several times: hand over stored tables.
+    """
     segments = abc_xyz_segments(mart)
     policy = inventory_policy_table(forecast, require_rows=False)
     return dashboard_dataset(forecast, segments, policy)

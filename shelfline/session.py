@@ -51,6 +51,17 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def hand_over(df: DataFrame, stem: str) -> DataFrame:
+    """Write a stage's table to the shared folder once and read it back.
+
+    For tables with several readers: each reads only its columns, and none recomputes the stage.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, stem)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder, so later reads see the same rows even after a
     lost executor."""
