@@ -90,8 +90,15 @@ def read_source(spark: SparkSession, path: str, required: Iterable[str]) -> Data
 def write_table(
     df: DataFrame, path: str, kind: str = "parquet", partition_by: Iterable[str] = ()
 ) -> str:
-    """Write as parquet or CSV, one file per task.  Partition the mart by year and month."""
-    writer = df.write.mode("overwrite").partitionBy(*partition_by)
+    """Write as parquet or CSV; partition the mart by year and month.
+
+    Rows are gathered by partition first, with large partitions split over several tasks, so
+    that no task writes a small file into every partition.
+    """
+    columns = list(partition_by)
+    if columns:
+        df = df.hint("rebalance", *columns)
+    writer = df.write.mode("overwrite").partitionBy(*columns)
     if kind == "parquet":
         writer.parquet(path)
     elif kind == "csv":

@@ -77,6 +77,15 @@ def test_write_reports_and_views(spark, forecast, tmp_path):
         io.write_table(forecast, str(tmp_path / "x"), "xml")
 
 
+def test_partitioned_mart(spark, forecast, tmp_path):
+    dated = forecast.selectExpr("*", "year(sales_date) AS year", "month(sales_date) AS month")
+    path = io.write_table(dated, str(tmp_path / "mart"), partition_by=["year", "month"])
+    plan = spark.read.parquet(path).where("year = 2024 AND month = 1")
+    assert plan.count() == 8
+    assert "PartitionFilters: [isnotnull(year" in plan._jdf.queryExecution().executedPlan().toString()
+    assert len(plan.inputFiles()) == 1
+
+
 def test_blank_text_survives_csv(spark, tmp_path):
     df = spark.createDataFrame([(day(0), " A ", "UK", 1.0, 2.0)],
                                "sales_date date, stock_code string, market_id string, "
