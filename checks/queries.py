@@ -265,22 +265,23 @@ def feature_view_dense(spark, folder):
     return X.feature_view(src.dense_sales(spark, folder))
 
 
+def market_days(spark, folder):
+    days = mart(spark, folder).groupBy("market_id", F.col(DATE).alias("date"))
+    return hand_over(days.agg(F.sum(TARGET).alias("sales")), "market-days")
+
+
 @query
 def lag_rolling_generic(spark, folder):
-    daily = mart(spark, folder).groupBy("market_id", F.col(DATE).alias("date")).agg(
-        F.sum(TARGET).alias("sales")
+    return X.add_lag_rolling_features(
+        market_days(spark, folder), ["market_id"], "sales", lags=(1, 7), windows=(3, 14)
     )
-    return X.add_lag_rolling_features(daily, ["market_id"], "sales", lags=(1, 7), windows=(3, 14))
 
 
 @query
 def lag_rolling_split_groups(spark, folder):
     """The same with every market treated as too large for one task."""
-    daily = mart(spark, folder).groupBy("market_id", F.col(DATE).alias("date")).agg(
-        F.sum(TARGET).alias("sales")
-    )
     return X.add_lag_rolling_features(
-        daily, ["market_id"], "sales", lags=(1, 7), windows=(3, 14), hot_rows=1000
+        market_days(spark, folder), ["market_id"], "sales", lags=(1, 7), windows=(3, 14), hot_rows=1000
     )
 
 
@@ -636,7 +637,8 @@ def dashboard_by_source(spark, folder):
     scored = hand_over(late.select(*MART_KEYS, TARGET, *SOURCES.values()), "baselines")
     table = hand_over(I.risk_table_by_source(scored, SOURCES), "risk")
     predicted = scored.withColumnRenamed(SOURCES["model"], FORECAST).dropna(subset=[FORECAST])
-    return D.dashboard_dataset(predicted.select(*MART_KEYS, TARGET, FORECAST), G.abc_xyz_segments(rows), table)
+    predicted = predicted.select(*MART_KEYS, TARGET, FORECAST)
+    return D.dashboard_dataset(predicted, G.abc_xyz_segments(rows), table, require_rows=False)
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions.metrics import METRICS, forecast_metrics
-from shelfline.operators.features import past, series_window
+from shelfline.operators.features import one_row_per_day, past, series_window
 from shelfline.operators.ordered import HOT_GROUP_ROWS, with_frames
 from shelfline.schema import DATE, SERIES_KEYS, TARGET, require_columns
 
@@ -60,7 +60,8 @@ def _add_frame(
     groups = groups or SERIES_KEYS
     date = DATE if DATE in df.columns else "date"
     require_columns(df, [*groups, date, target], "baseline input")
-    return with_frames(df, groups, date, reach, lambda w: {name: make(w)}, hot_rows)
+    limit = None if one_row_per_day(groups, date) else hot_rows
+    return with_frames(df, groups, date, reach, lambda w: {name: make(w)}, limit)
 
 
 def add_seasonal_naive(

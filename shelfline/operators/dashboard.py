@@ -26,6 +26,7 @@ STOCK_COLUMNS = [
     "suggested_reorder_point",
     "suggested_safety_stock",
 ]
+COMPUTED = ["wmape", "mae", "rmse", "bias"]
 
 
 def error_metrics(actual: Column, forecast: Column) -> list[Column]:
@@ -74,13 +75,14 @@ def row_errors(forecast: DataFrame) -> DataFrame:
 
 
 def dashboard_dataset(
-    forecast: DataFrame, segments: DataFrame, inventory: DataFrame, require_rows: bool = False
+    forecast: DataFrame, segments: DataFrame, inventory: DataFrame, require_rows: bool = True
 ) -> DataFrame:
     """Twenty fixed columns, one row per forecast row.
 
     The three group-grain sides are joined with each other first, where they are already
     partitioned by their keys, so the forecast rows take part in one join only.  `revenue` is
-    the segment total repeated on every row; never sum it over rows.
+    the segment total repeated on every row; never sum it over rows.  `require_rows` fails on an
+    empty forecast; switch it off for a lazily derived one, which that look would compute twice.
     """
     forecast = require_columns(normalize_dashboard_columns(forecast), FORECAST_COLUMNS, "forecast")
     segments = require_columns(normalize_dashboard_columns(segments), SEGMENT_COLUMNS, "segments")
@@ -89,36 +91,41 @@ def dashboard_dataset(
         raise ValueError("the forecast has no rows")
 
     rows = row_errors(forecast.withColumn(DATE, F.col(DATE).try_cast("date")))
-    stock = choose_inventory_source(inventory)
+    shown = {*DASHBOARD_COLUMNS, "source"}
+    stock = choose_inventory_source(inventory.select(*(c for c in inventory.columns if c in shown)))
     sides = (
         group_metrics(forecast).alias("metrics")
         .join(segments.alias("segments"), SERIES_KEYS, "left")
         .join(stock.alias("stock"), SERIES_KEYS, "left")
     )
-    # Group metrics win over any other source; otherwise the first source that has the column.
-    sources = [("stock", stock.columns), ("segments", segments.columns)]
-    own = [*FORECAST_COLUMNS, "forecast_error", "abs_forecast_error"]
-    computed = ["wmape", "mae", "rmse", "bias"]
-
-    picked = []
-    for name in DASHBOARD_COLUMNS:
-        held = [f"{alias}.{name}" for alias, columns in reversed(sources) if name in columns]
-        if name in computed:
-            options = [f"metrics.{name}", *([f"stock.{name}"] if name == "bias" and "bias" in stock.columns else [])]
-            picked.append(F.coalesce(*(F.col(o) for o in options)).alias(name))
-        elif name not in own and name not in rows.columns and held:
-            picked.append(F.col(held[0]).alias(name))
-    if "forecast_error" in stock.columns:
-        picked.append(F.col("stock.forecast_error").alias("_stock_error"))
-    side = sides.select(*(F.col(key).alias(key) for key in SERIES_KEYS), *picked)
-
-    joined = rows.drop(*computed).join(side, SERIES_KEYS, "left")
-    if "_stock_error" in joined.columns:
-        joined = joined.withColumn("forecast_error", F.coalesce("forecast_error", "_stock_error"))
-    for name in DASHBOARD_COLUMNS:
-        if name not in joined.columns:
-            joined = joined.withColumn(name, F.lit("") if name == "description" else F.lit(None).cast("double"))
-    return joined.select(*DASHBOARD_COLUMNS)
+
+    def first_source(name: str) -> Column | None:
+        """The column of the first side that has it; a missing bias may come from a later one."""
+        found = [F.col(f"{side}.{name}") for side, columns in held.items() if name in columns]
+        if name == "bias":
+            return F.coalesce(*found).alias(name)
+        return found[0].alias(name) if found else None
+
+    held = {"metrics": COMPUTED, "segments": segments.columns, "stock": stock.columns}
+    own = set(rows.columns) - set(COMPUTED)
+    picked = [first_source(name) for name in DASHBOARD_COLUMNS if name not in own]
+    known_errors = [F.col("stock.forecast_error").alias("_error")] if "forecast_error" in stock.columns else []
+    side = sides.select(
+        *(F.col(f"metrics.{key}").alias(key) for key in SERIES_KEYS),
+        *(column for column in picked if column is not None),
+        *known_errors,
+    )
+    board = rows.drop(*COMPUTED).join(side, SERIES_KEYS, "left")
+    if known_errors:
+        board = board.withColumn("forecast_error", F.coalesce("forecast_error", "_error"))
+    absent = {"description": F.lit("")}
+    return board.withColumns(
+        {
+            name: absent.get(name, F.lit(None).cast("double"))
+            for name in DASHBOARD_COLUMNS
+            if name not in board.columns
+        }
+    ).select(*DASHBOARD_COLUMNS)
 
 
 def dashboard_order(dashboard: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def past(window: WindowSpec, rows: int | None = None) -> WindowSpec:
     return window.rowsBetween(start, -1)
 
 
+def one_row_per_day(groups: list[str], date: str) -> bool:
+    """Whether groups are series of the mart, whose length the calendar bounds."""
+    return date == DATE and set(SERIES_KEYS) <= set(groups)
+
+
 def _lags(w: WindowSpec) -> dict[str, Column]:
     lags = {f"lag_{n}": F.lag(TARGET, n).over(w) for n in (7, 14, 28)}
     for count in ("invoices_cnt", "customers_cnt"):
@@ -132,4 +137,5 @@ def add_lag_rolling_features(
         added |= {f"rolling_mean_{n}": F.avg(target).over(past(w, n)) for n in windows}
         return added
 
-    return with_frames(df, groups, date, max([*lags, *windows]), columns, hot_rows)
+    limit = None if one_row_per_day(groups, date) else hot_rows
+    return with_frames(df, groups, date, max([*lags, *windows]), columns, limit)

@@ -16,7 +16,7 @@ from shelfline.functions.metrics import evaluate
 from shelfline.operators.baselines import best_baseline
 from shelfline.operators.validation import train_holdout_split
 from shelfline.schema import DATE, FORECAST, SERIES_KEYS, TARGET, require_columns
-from shelfline.session import hand_over, scratch_path
+from shelfline.session import hand_over, scratch_path, shared_folder
 
 # Same-day outcomes that a forecast must not see.
 LEAKAGE_COLUMNS = [
@@ -92,6 +92,7 @@ def train_model(
     seed: int = SEED,
 ) -> DemandModel:
     """Fit the trees; missing features are set to the training median."""
+    shared_folder(train.sparkSession)  # lets boosting checkpoint its residuals every few trees
     rows = _model_input(train.select(target, *names), names).persist()
     known = rows.agg(*(F.count(f"_x_{n}").alias(n) for n in names)).first().asDict()
     if not any(known.values()):

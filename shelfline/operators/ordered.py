@@ -60,15 +60,18 @@ def with_frames(
     order: str,
     reach: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
-    hot_rows: int = HOT_GROUP_ROWS,
+    hot_rows: int | None = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Add window columns that look at most `reach` rows back within a group.
 
-    Groups are counted first.  If one exceeds `hot_rows`, every group is cut into runs of
+    Groups of a known bound (`hot_rows` is None) get a plain window.  Others are counted first,
+    so pass a stored table.  If one exceeds `hot_rows`, every group is cut into runs of
     consecutive rows; each run also receives the last `reach` rows of the run before it, so the
     frames are exact while no task holds more than one run.  Rows that share a date are ordered
     by their remaining columns, which keeps results repeatable and lets runs cut through a date.
     """
+    if hot_rows is None:
+        return df.withColumns(columns(Window.partitionBy(*groups).orderBy(order)))
     ties = [
         f.name
         for f in df.schema.fields

@@ -49,4 +49,4 @@ def dashboard_from_mart(mart: DataFrame, forecast: DataFrame) -> DataFrame:
     """
     segments = abc_xyz_segments(mart)
     policy = inventory_policy_table(forecast, require_rows=False)
-    return dashboard_dataset(forecast, segments, policy)
+    return dashboard_dataset(forecast, segments, policy, require_rows=False)
