@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import pandas as pd
+from pyspark.sql import DataFrame
 
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
@@ -54,10 +55,23 @@ def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str:
     return f"{int(wrong.sum())} rows differ, e.g.\n{left[wrong].head(3)}\n{right[wrong].head(3)}"
 
 
-def kinds(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str:
-    """Numeric kinds that differ between the two results."""
-    pairs = ((c, spark_rows[c].dtype.kind, sql_rows[c].dtype.kind) for c in spark_rows.columns)
-    return ", ".join(f"{c}: {a}/{b}" for c, a, b in pairs if a != b and "O" not in (a, b))
+# Spark's name of each SQL type.
+TYPES = {
+    "BIGINT": "bigint",
+    "BOOLEAN": "boolean",
+    "DATE": "date",
+    "DOUBLE": "double",
+    "INTEGER": "int",
+    "TIMESTAMP": "timestamp",
+    "VARCHAR": "string",
+}
+
+
+def type_difference(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str:
+    """Columns whose types differ."""
+    wanted = {row[0]: TYPES.get(row[1], row[1]) for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    pairs = ((name, kind, wanted.get(name)) for name, kind in df.dtypes)
+    return ", ".join(f"{name}: {kind} vs {other}" for name, kind, other in pairs if kind != other)
 
 
 def main() -> int:
@@ -68,18 +82,18 @@ def main() -> int:
     for name in names:
         began = time.time()
         try:
-            rows = QUERIES[name](spark, folder).toPandas()
+            result = QUERIES[name](spark, folder)
+            rows = result.toPandas()
             taken = time.time() - began
             if name not in ORACLES:
                 print(f"rows {name}: {len(rows)} ({taken:.1f}s)", flush=True)
                 continue
             expected = con.execute(ORACLES[name]).df()
-            problem = difference(rows, expected)
-            note = "" if problem else kinds(rows, expected)
+            problem = difference(rows, expected) or type_difference(result, con, ORACLES[name])
         except Exception as error:  # noqa: BLE001 - reported per query
-            taken, problem, note, rows = time.time() - began, str(error)[:1500], "", []
+            taken, problem, rows = time.time() - began, str(error)[:1500], []
         failed += bool(problem)
-        print(f"{'FAIL' if problem else 'ok'} {name}: {len(rows)} ({taken:.1f}s) {problem or note}", flush=True)
+        print(f"{'FAIL' if problem else 'ok'} {name}: {len(rows)} ({taken:.1f}s) {problem}", flush=True)
     print(f"{len(names)} queries, {failed} failed")
     return int(failed > 0)
 

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from checks.compare import connect, difference
+from checks.compare import connect, difference, type_difference
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
 
@@ -21,8 +21,9 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    got = QUERIES[name](spark, FOLDER).toPandas()
-    assert difference(got, duck.execute(ORACLES[name]).df()) == ""
+    result = QUERIES[name](spark, FOLDER)
+    assert type_difference(result, duck, ORACLES[name]) == ""
+    assert difference(result.toPandas(), duck.execute(ORACLES[name]).df()) == ""
 
 
 def test_every_oracle_has_a_query():
