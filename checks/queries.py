@@ -69,12 +69,18 @@ def fact(spark, folder):
 
 
 def mart(spark, folder):
+    """The mart for queries of few columns."""
     return M.daily_sales_mart(fact(spark, folder))
 
 
-def mart_table(spark, folder):
-    """The mart as a stored table, for queries that read it more than once."""
-    return hand_over(mart(spark, folder), "mart")
+def whole_mart(spark, folder):
+    """The mart for queries of all columns, which read the facts several times."""
+    return M.daily_sales_mart(hand_over(fact(spark, folder), "facts"))
+
+
+def sales_table(spark, folder):
+    """Target and revenue of the mart as a stored table, for queries that read it repeatedly."""
+    return hand_over(mart(spark, folder).select(*MART_KEYS, TARGET, "revenue"), "sales")
 
 
 def mart_days(spark, folder):
@@ -87,12 +93,12 @@ def raw(spark, folder):
 
 
 def forecast(spark, folder, days=YEAR):
-    return baseline_forecast(mart_table(spark, folder), holdout_days=days)
+    return baseline_forecast(sales_table(spark, folder), holdout_days=days)
 
 
 def all_baselines(spark, folder, days=YEAR):
     """Mart rows of the last dates with all baselines as columns."""
-    rows = mart_table(spark, folder).select(*MART_KEYS, TARGET)
+    rows = sales_table(spark, folder).select(*MART_KEYS, TARGET)
     return V.train_holdout_split(B.add_baselines(rows), DATE, days)[1]
 
 
@@ -212,7 +218,7 @@ def prepare_transactions(spark, folder):
 
 @query
 def mart_daily_sales(spark, folder):
-    return mart(spark, folder)
+    return whole_mart(spark, folder)
 
 
 # Features -------------------------------------------------------------------------------
@@ -252,12 +258,12 @@ _register_feature("zero_sales_streak", X.add_zero_sales_features, ["zero_sales_s
 
 @query
 def feature_view(spark, folder):
-    return X.feature_view(mart(spark, folder))
+    return X.feature_view(whole_mart(spark, folder))
 
 
 @query
 def feature_matrix(spark, folder):
-    return X.feature_matrix(mart(spark, folder))
+    return X.feature_matrix(whole_mart(spark, folder))
 
 
 @query
@@ -335,7 +341,7 @@ def best_baseline(spark, folder):
 
 @query
 def train_holdout_split(spark, folder):
-    return V.label_holdout(mart_table(spark, folder).select(*MART_KEYS, TARGET), DATE, 28)
+    return V.label_holdout(sales_table(spark, folder).select(*MART_KEYS, TARGET), DATE, 28)
 
 
 @query
@@ -429,7 +435,7 @@ def abc_xyz_compat(spark, folder):
 
 
 def model_features(spark, folder):
-    return hand_over(X.feature_matrix(mart(spark, folder)), "features")
+    return hand_over(X.feature_matrix(whole_mart(spark, folder)), "features")
 
 
 @query
@@ -457,9 +463,9 @@ def modeling(spark, folder):
     """One training run per session and folder serves all model queries."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _runs:
-        rows = mart_table(spark, folder)
         baselines = B.baseline_metrics(all_baselines(spark, folder))
-        _runs[key] = L.run_modeling(X.feature_matrix(rows), baselines, YEAR, TREES)
+        features = X.feature_matrix(whole_mart(spark, folder))
+        _runs[key] = L.run_modeling(features, baselines, YEAR, TREES)
     return _runs[key]
 
 
@@ -493,7 +499,8 @@ def feature_importance(spark, folder):
 
 @query
 def feature_split_counts(spark, folder):
-    return L.split_counts(modeling(spark, folder)["model"], mart(spark, folder))
+    run = modeling(spark, folder)
+    return L.split_counts(run["model"], run["forecast"])
 
 
 @query
@@ -604,7 +611,7 @@ def dashboard_rows(spark, folder, days=YEAR):
 
 
 def dashboard(spark, folder):
-    rows = mart_table(spark, folder)
+    rows = sales_table(spark, folder)
     return dashboard_from_mart(rows, hand_over(baseline_forecast(rows, holdout_days=YEAR), "forecast"))
 
 
@@ -632,7 +639,7 @@ def dashboard_dataset(spark, folder):
 @query
 def dashboard_by_source(spark, folder):
     """The dashboard with its stock columns taken from the table of all sources."""
-    rows = mart_table(spark, folder)
+    rows = sales_table(spark, folder)
     late = V.train_holdout_split(B.add_baselines(rows, list(SOURCES.values())), DATE, YEAR)[1]
     scored = hand_over(late.select(*MART_KEYS, TARGET, *SOURCES.values()), "baselines")
     table = hand_over(I.risk_table_by_source(scored, SOURCES), "risk")
@@ -653,7 +660,7 @@ def error_by_market(spark, folder):
 
 @query
 def error_by_segment(spark, folder):
-    rows = mart_table(spark, folder)
+    rows = sales_table(spark, folder)
     return R.error_by_segment(baseline_forecast(rows, holdout_days=YEAR), G.abc_xyz_segments(rows))
 
 
@@ -674,21 +681,21 @@ def abc_xyz_matrix(spark, folder):
 
 @query
 def risk_matrix(spark, folder):
-    rows = mart_table(spark, folder)
+    rows = sales_table(spark, folder)
     risks = I.inventory_metrics(baseline_forecast(rows, holdout_days=YEAR))
     return R.risk_matrix(risks, G.abc_xyz_segments(rows))
 
 
 @query
 def model_vs_baseline_by_segment(spark, folder):
-    rows = mart_table(spark, folder)
+    rows = sales_table(spark, folder)
     late = V.train_holdout_split(B.add_baselines(rows, list(SOURCES.values())), DATE, YEAR)[1]
     return R.forecasts_by_segment(late, G.abc_xyz_segments(rows), SOURCES)
 
 
 @query
 def revenue_vs_error(spark, folder):
-    rows = mart_table(spark, folder)
+    rows = sales_table(spark, folder)
     errors = D.group_metrics(normalize_dashboard_columns(baseline_forecast(rows, holdout_days=YEAR)))
     return R.revenue_vs_error(G.segment_stats(rows), errors)
 

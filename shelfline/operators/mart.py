@@ -49,6 +49,26 @@ def with_mart_keys(fact: DataFrame) -> DataFrame:
     return fact.where(present)
 
 
+def _daily_sums(keyed: DataFrame) -> DataFrame:
+    returned, quantity = F.col("is_return_flag"), F.col("quantity")
+    return keyed.groupBy(*MART_KEYS).agg(
+        F.sum(F.when(returned, 0.0).otherwise(quantity)).alias("sales_qty"),
+        F.avg(F.when(~F.col("is_price_invalid"), F.col("unit_price"))).alias("avg_unit_price"),
+        F.sum("revenue").alias("revenue"),
+        F.abs(F.sum(F.when(returned, quantity).otherwise(0.0))).alias("returns_qty"),
+        F.sum("quantity").alias("net_sales_qty"),
+        F.bool_or("is_return_flag").alias("is_return_flag"),
+        F.bool_or("is_price_missing").alias("is_price_missing"),
+    )
+
+
+def _daily_counts(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy(*MART_KEYS).agg(
+        F.count_distinct("invoice").alias("invoices_cnt"),
+        F.count_distinct("customer_id").alias("customers_cnt"),
+    )
+
+
 def _daily_description(keyed: DataFrame) -> DataFrame:
     """Any description would do per mart row; the smallest makes the result repeatable."""
     used = keyed.select(*MART_KEYS, "description").distinct()
@@ -58,26 +78,21 @@ def _daily_description(keyed: DataFrame) -> DataFrame:
 def daily_sales_mart(fact: DataFrame) -> DataFrame:
     """One row per sales_date x stock_code x market_id.
 
-    The two distinct counts make Spark group by key plus invoice / customer before it groups
-    by key, with map-side partials on both levels, so a hot key spreads over its invoices.
-    A text aggregate would turn all of that into sort aggregation; the description therefore
-    comes from its own distinct pairs, a join Spark leaves out when nobody reads the column.
+    Sums, distinct counts and the description are three narrow aggregations joined on their
+    common partitioning.  In one aggregation, the distinct counts would multiply every row with
+    all its sums, and the text would turn hash into sort aggregation.  Distinct counts group by
+    key plus invoice / customer first, so a hot key spreads over its invoices.  Spark leaves out
+    the joins whose columns nobody reads; `fact` should be a stored table.
     """
     keyed = with_mart_keys(fact)
-    returned, quantity = F.col("is_return_flag"), F.col("quantity")
-    daily = keyed.groupBy(*MART_KEYS).agg(
-        F.sum(F.when(returned, 0.0).otherwise(quantity)).alias("sales_qty"),
-        F.avg(F.when(~F.col("is_price_invalid"), F.col("unit_price"))).alias("avg_unit_price"),
-        F.sum("revenue").alias("revenue"),
-        F.count_distinct("invoice").alias("invoices_cnt"),
-        F.count_distinct("customer_id").alias("customers_cnt"),
-        F.abs(F.sum(F.when(returned, quantity).otherwise(0.0))).alias("returns_qty"),
-        F.sum("quantity").alias("net_sales_qty"),
-        F.bool_or("is_return_flag").alias("is_return_flag"),
-        F.bool_or("is_price_missing").alias("is_price_missing"),
+    # All sides are as long as the mart and already partitioned by its keys: merging them needs
+    # no shuffle, while a broadcast would copy the mart.
+    daily = (
+        _daily_sums(keyed)
+        .join(_daily_counts(keyed).hint("merge"), MART_KEYS, "left")
+        .join(_daily_description(keyed).hint("merge"), MART_KEYS, "left")
     )
-    described = daily.join(_daily_description(keyed), MART_KEYS, "left")
-    dated = described.withColumns(sunday_calendar(F.col("sales_date")))
+    dated = daily.withColumns(sunday_calendar(F.col("sales_date")))
     return dated.select(*MART_SCHEMA.fieldNames())
 
 

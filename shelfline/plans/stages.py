@@ -28,7 +28,7 @@ def baseline_forecast(
 
 def sql_stages(transactions: DataFrame, holdout_days: int = 28) -> dict[str, DataFrame]:
     """Register and return every stage of the SQL chain."""
-    fact = prepare_transactions(transactions)
+    fact = hand_over(prepare_transactions(transactions), "facts")
     mart = hand_over(daily_sales_mart(fact), "mart")
     forecast = hand_over(baseline_forecast(mart, holdout_days=holdout_days), "forecast")
     stages = {

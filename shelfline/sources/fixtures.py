@@ -10,14 +10,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, key: str) -> DataFrame:
     """Deal rows out when there are fewer files than cores; a cluster-sized table has more."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def _invoice_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _spread(table(spark, folder, "lineitem"))
+    lines = _spread(table(spark, folder, "lineitem"), "l_orderkey")
     orders = table(spark, folder, "orders")
     buyers = table(spark, folder, "customer")
     nations = table(spark, folder, "nation")

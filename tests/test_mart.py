@@ -77,7 +77,12 @@ def test_dimensions(spark):
     assert by_key(M.duplicate_keys(df, ["stock_code"]), "stock_code")[("B",)]["rows"] == 3
 
 
-def test_unused_description_costs_nothing(spark):
-    df = facts(spark, ("1", "A", "a", 1.0, NOON, 1.0, "c", "UK"))
-    plan = M.daily_sales_mart(df).drop("description")._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "SortAggregate" not in plan
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unread_columns_cost_nothing(spark):
+    mart = M.daily_sales_mart(facts(spark, ("1", "A", "a", 1.0, NOON, 1.0, "c", "UK")))
+    sums = plan_of(mart.drop("description", "invoices_cnt", "customers_cnt"))
+    assert "Join" not in sums and sums.count("Exchange") == 1
+    assert "SortAggregate" not in plan_of(mart.drop("description"))
