@@ -6,23 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import sharding, url_filter
+from shelfline.llm import (
+    license_scan,
+    quality_rules,
+    secret_scan,
+    sharding,
+    toxicity,
+    url_filter,
+)
 from shelfline.llm.tables import table
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = quality_rules.train_quality(documents, table(spark, folder, "labels"))
+    return quality_rules.judge_quality(documents, model)
+
+
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     known = url_filter.page_labels(pages, table(spark, folder, "labels"))
     return url_filter.filter_urls(pages, known)
 
 
+def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return secret_scan.scan_secrets(documents, secret_scan.train_randomness(documents))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.train_toxicity(documents, table(spark, folder, "labels"))
+    return toxicity.score_toxicity(documents, model)
+
+
+def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_url_filters": op4_url_filters,
+    "op7_secret_scans": op7_secret_scans,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLES: dict[str, str] = {}
