@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import (
     license_scan,
+    packing,
     quality_rules,
     secret_scan,
     sharding,
@@ -23,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_quality(documents, model)
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     known = url_filter.page_labels(pages, table(spark, folder, "labels"))
@@ -50,6 +55,7 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filters": op4_url_filters,
     "op7_secret_scans": op7_secret_scans,
     "op8_sharding": op8_sharding,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,10 @@ import pyarrow as pa
 # Bytes of text that are worked on at a time; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-_random = np.random.Generator(np.random.PCG64(20240501))
-_BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+LONG_WORD = 512  # bytes; longer ones are hashed one by one
+
+_BASE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 SPACES = np.zeros(256, bool)
@@ -116,15 +118,22 @@ def find_words(part: Slice, separators: np.ndarray) -> Words:
 
 
 def hash_words(part: Slice, words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(words.begin):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each word's bytes, eight bytes at a time."""
     lengths = words.end - words.begin
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
-    letters = part.data[place + np.repeat(words.begin, lengths)]
-    terms = _BYTE[letters] * _powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+    padded = np.concatenate([part.data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(part.data) + 1,), "<u8", padded, strides=(1,))
+    hashes = lengths.astype(np.uint64) * _BASE
+    long = np.flatnonzero(lengths > LONG_WORD)
+    rest, at = np.flatnonzero(lengths <= LONG_WORD), 0
+    while len(rest):
+        left = lengths[rest] - at
+        chunk = eights[words.begin[rest] + at] & _MASK[np.minimum(left, 8)]
+        hashes[rest] = mix((hashes[rest] ^ chunk) * _ODD)
+        rest, at = rest[left > 8], at + 8
+    for word in long.tolist():
+        text = part.data[words.begin[word] : words.end[word]].tobytes()
+        hashes[word] = int.from_bytes(blake2b(text, digest_size=8).digest(), "little")
+    return hashes
 
 
 def hash_runs(hashes: np.ndarray, words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
