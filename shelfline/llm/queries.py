@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import (
+    decontaminate,
     license_scan,
     packing,
     quality_rules,
@@ -34,6 +35,12 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages, known)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    ).drop(*decontaminate.ROW)
+
+
 def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return secret_scan.scan_secrets(documents, secret_scan.train_randomness(documents))
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filters": op4_url_filters,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_secret_scans": op7_secret_scans,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
