@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import (
     decontaminate,
+    jaccard_join,
     license_scan,
     packing,
     quality_rules,
@@ -41,6 +42,10 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     ).drop(*decontaminate.ROW)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("mark")
+
+
 def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return secret_scan.scan_secrets(documents, secret_scan.train_randomness(documents))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filters": op4_url_filters,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_secret_scans": op7_secret_scans,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
