@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.tables import columns
+from shelfline.llm.tables import columns, small, stored_small
 from shelfline.session import hand_over
 
 # The class of separators, and the letters that are lower-cased.
@@ -19,17 +19,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 10
 
-# Counted sides up to this many narrow rows are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
-
 # A row by hashes of key and text and of the text alone: never NULL, and equal for equal rows.
 ROW = ["row_key", "copy"]
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, and no other letter."""
     plain = F.octet_length(text) == F.length(text)
@@ -154,10 +147,9 @@ def find_phrases(postings: DataFrame, terms: DataFrame) -> DataFrame:
     done = candidates.join(small(single, rows), "window", "left_semi")
     left = hand_over(confirmed.unionByName(done).distinct(), "candidates")
     rest = terms.where("rank > 2")
-    owners = left.select(*ROW).distinct()
-    count = owners.count()
     # Only documents that hold a candidate are read on.
-    there = listed.join(small(owners, count), ROW, "left_semi").distinct()
+    owners = stored_small(left.select(*ROW).distinct(), "owners")
+    there = listed.join(owners, ROW, "left_semi").distinct()
     wanted = terms.groupBy("window").agg(F.greatest(F.max("rank") - 2, F.lit(0)).alias("wanted"))
     complete = (
         _needed(left, small(rest, rows))
@@ -258,5 +250,6 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         dict(zip(("_row_key", "_copy"), row_hashes(F.coalesce("text", F.lit("")))))
     )
     marked = found.select(F.col("row_key").alias("_row_key"), F.col("copy").alias("_copy"))
-    left = hashed.join(marked.distinct(), ["_row_key", "_copy"], "left_anti")
+    marked = stored_small(marked.distinct(), "contaminated")
+    left = hashed.join(marked, ["_row_key", "_copy"], "left_anti")
     return left.select(*(F.col(f"`{c}`") for c in documents.columns))

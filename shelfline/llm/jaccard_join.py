@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.components import connected_components
-from shelfline.llm.tables import columns
+from shelfline.llm.tables import columns, small, stored_small
 from shelfline.llm.words import (
     SPACES,
     Slice,
@@ -44,7 +44,6 @@ WORDS = 4
 PERCENT = 85
 BLOCK_NGRAMS = 1_000_000  # n-grams that a block gathers before it sends them
 FRAGMENTS = 8  # of the n-gram order, in which overlaps are counted
-BROADCAST_ROWS = 500_000
 
 
 def least_overlap(size, percent: int):
@@ -292,8 +291,7 @@ def read_sets(documents: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """(mark, size, fragment, ngrams) of the chosen (doc_id, mark), read again.
 
     A fragment holds the n-grams of one even stretch of the hash order."""
-    count = chosen.count()
-    chosen = F.broadcast(chosen) if count <= BROADCAST_ROWS else chosen
+    chosen = small(chosen, chosen.count())
     shift = np.uint64(64 - int(np.log2(FRAGMENTS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,8 +469,8 @@ def near_duplicates(
 def keep_one_each(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its own columns.
 
-    Documents without words or without a doc_id stay; of repeated rows of one key one stays."""
+    Documents without words or without a doc_id stay, and so do repeated rows of a kept key."""
     found = near_duplicates(documents, words, percent)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
-    return kept
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
+    gone = stored_small(gone.distinct(), "copies")
+    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfline.llm.learning import (
     Sample,
@@ -182,31 +183,32 @@ def judge_quality(
     judged; an empty table stays empty.  `keep` may hold any columns but the added ones.
     """
 
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(text_column(batch, "_text")):
-                own = batch.slice(part.first, part.rows)
+            for part in slices(text_column(batch)):
+                own = batch.select(keep).slice(part.first, part.rows)
                 counts = base_counts(part)
                 counts["probability"] = model.probability(part)
                 counts["kept"] = ~counts["base_failed"] & (
                     counts["probability"] >= reject_below
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns[1:], *(pa.array(x) for x in counts.values())],
-                    [*keep, *counts],
+                    [*own.columns, *(pa.array(x) for x in counts.values())], [*keep, *counts]
                 )
 
-    rows = columns(documents, ["text", *keep])
-    rows = rows.toDF("_text", *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    rows = columns(documents, dict.fromkeys(["text", *keep]))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(
         judge,
-        f"{kinds}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-        "n_repeat_words bigint, base_failed boolean, probability double, kept boolean",
+        f"{kinds}, {' bigint, '.join(added)} bigint, base_failed boolean, probability double, "
+        "kept boolean",
     )
 
 
 def filter_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
     """The documents that are kept, with their own columns."""
     names = documents.columns
-    return judge_quality(documents, model, names).where("kept").select(*names)
+    judged = judge_quality(documents, model, names).where("kept")
+    return judged.select(*(F.col(f"`{c}`") for c in names))

@@ -11,6 +11,7 @@ from shelfline.llm import (
     jaccard_join,
     license_scan,
     packing,
+    quality_lm,
     quality_rules,
     secret_scan,
     sharding,
@@ -20,6 +21,12 @@ from shelfline.llm import (
 from shelfline.llm.tables import table
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_lm.classify_quality(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = quality_rules.train_quality(documents, table(spark, folder, "labels"))
@@ -66,6 +73,7 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filters": op4_url_filters,

@@ -5,6 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfline.session import hand_over
+
+# Narrow sides of up to this many counted rows are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,3 +23,14 @@ def columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     return df.select(*(df[f"`{name}`"] for name in names))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """The side of a join, to be broadcast if its `rows` are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def stored_small(df: DataFrame, stem: str) -> DataFrame:
+    """The same for a side that is stored and counted first."""
+    stored = hand_over(df, stem)
+    return small(stored, stored.count())
