@@ -18,6 +18,7 @@ from shelfline.llm import (
     toxicity,
     url_filter,
 )
+from shelfline.llm.oracles import ORACLES
 from shelfline.llm.tables import table
 
 
@@ -72,6 +73,8 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, folder, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -84,5 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
 }
-
-ORACLES: dict[str, str] = {}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.tables import columns
 
 RING = 1 << 31
+BLOCKS = 256  # parts of a shard that are numbered apart
 
 
 def jump_shards(key: Column, counts: list[int]) -> Column:
@@ -42,13 +43,13 @@ def jump_shards(key: Column, counts: list[int]) -> Column:
 
 
 def shard(
-    df: DataFrame, key: str, shards: int, by: list[str], blocks: int | None = None
+    df: DataFrame, key: str, shards: int, by: list[str], blocks: int = BLOCKS
 ) -> DataFrame:
     """Add `shard`, `grown_shard` (with one shard more) and `slot`, the row's place in its shard.
 
     Slots run from 0 without gaps, by block and then by `by`.  A shard is cut into `blocks` blocks
-    by the key's hash (the number of shuffle partitions unless given), so no task holds a whole
-    shard; only block counts, shards x blocks rows, are summed over a shard.  Rows that agree in
+    by a hash of the `by` columns, so no task holds a whole shard; only block counts, shards x
+    blocks rows, are summed over a shard.  Rows that agree in
     `by` take their slots in any order.  A NULL key is a key like any other; an empty table
     stays empty; further columns are kept, unless they carry one of the added names.
     """
@@ -57,10 +58,10 @@ def shard(
     clash = {"shard", "grown_shard", "slot", "_block"} & set(df.columns)
     if clash:
         raise ValueError(f"columns would be overwritten: {', '.join(sorted(clash))}")
-    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = jump_shards(F.col(f"`{key}`"), [shards, shards + 1])
-    # A repeated key may hold many rows, so the block comes from the ordering columns too.
-    block = F.pmod(F.xxhash64(F.col(f"`{key}`"), *(F.col(f"`{c}`") for c in by)), F.lit(blocks))
+    # A repeated key may hold many rows, so the block comes from the ordering columns.
+    text = F.concat_ws(":", *(F.col(f"`{c}`").cast("string") for c in by))
+    block = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % blocks
     placed = df.withColumn("_found", found).withColumns(
         {
             "shard": F.col("_found")[0].cast("int"),
