@@ -1,9 +1,10 @@
 """Best-fit packing of tokenized documents, certified by lower bounds.
 
 Pieces are dealt to groups of bounded size; each is packed by best-fit decreasing.  Dual-feasible
-functions bound every group's bins from below.  A group that meets its bound is done but for its
-emptiest bin; one with a gap gives up all bins that are not full.  The pieces given up are dealt
-anew and packed again, until one group holds them all or no bin is saved.
+functions bound every group's bins, and those of all pieces, from below.  A group with a gap gives
+up all bins that are not full; one that meets its bound only its emptiest, with room for a bin
+between them.  The pieces given up are dealt anew and packed again, until the bins meet the bound
+of all pieces, one group holds all that is left, or no bin is saved.
 """
 
 from __future__ import annotations
@@ -117,7 +118,11 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     One raises pieces over capacity - e to full and drops those below e, for every e up to half;
     the other rounds to multiples of capacity / k.  Pieces that fit before still do after.
     """
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length."""
     size = np.arange(capacity + 1)
     many = np.concatenate([[0], np.cumsum(count)])
     mass = np.concatenate([[0], np.cumsum(count * size)])
@@ -133,31 +138,37 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack_groups(dealt: DataFrame, capacity: int, number: int, last: bool) -> DataFrame:
-    """Pack each group: adds sequence_id, offset, closed, and the group's bins and bound."""
+def _pack_groups(dealt: DataFrame, capacity: int, number: int) -> DataFrame:
+    """Pack each group: adds sequence_id, offset, and whether the bin is given up."""
 
     def pack(group: pa.Table) -> pa.Table:
         lengths = group["length"].to_numpy()
         bins, offsets, left = best_fit(lengths, capacity)
-        bound = least_bins(lengths, capacity)
-        if last:
-            given_up = np.zeros(len(left), bool)
-        elif len(left) > bound:
-            given_up = left > 0
-        else:
-            given_up = left == max(int(left.max()), 1)
-            given_up &= np.cumsum(given_up) == 1
+        given_up = left > 0
+        if len(left) == least_bins(lengths, capacity):
+            order = np.argsort(-left, kind="stable")
+            enough = np.searchsorted(np.cumsum(left[order]), capacity) + 1
+            given_up[order[enough:]] = False
         name = (number << 56) + (group["deal"][0].as_py() << 24)
         out = group.append_column("sequence_id", pa.array(name + bins))
         out = out.append_column("offset", pa.array(offsets))
-        return out.append_column("closed", pa.array(~given_up[bins]))
+        return out.append_column("given_up", pa.array(given_up[bins]))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
     return dealt.groupBy("deal").applyInArrow(
-        pack, f"{kinds}, sequence_id bigint, offset bigint, closed boolean"
+        pack, f"{kinds}, sequence_id bigint, offset bigint, given_up boolean"
     )
 
 
+def least_bins_of_all(pieces: DataFrame, capacity: int) -> int:
+    """The bound of all pieces, from the number of pieces of each length."""
+    sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    count = np.zeros(capacity + 1, np.int64)
+    for row in sizes:
+        count[row["length"]] = row["n"]
+    return bound_of_counts(count, capacity)
+
+
 def pack_pieces(
     pieces: DataFrame,
     capacity: int = CAPACITY,
@@ -166,28 +177,34 @@ def pack_pieces(
 ) -> DataFrame:
     """Add sequence_id and offset to (length, lot, ...); pass a stored table.
 
-    Every piece of 1 to `capacity` ids gets a place; sequences have no gaps and no overlaps.
+    Every piece of 1 to `capacity` ids gets a place; sequences have no gaps and no overlaps.  A
+    deal that saves no bin is dropped for the one before.
     """
+    names, bound = pieces.columns, least_bins_of_all(pieces, capacity)
     done: list[DataFrame] = []
-    rest, names = pieces, pieces.columns
+    rest, last, last_bins, closed = pieces, None, 0, 0
     for number in range(rounds):
         rows = rest.count()
-        if not rows:
-            break
-        groups = -(-rows // group_rows)
+        groups = max(1, -(-rows // group_rows))
         # The first deal is even; later ones mix the pieces anew.
         lot = F.col("lot") if not number else F.abs(F.xxhash64("lot", F.lit(number)) % 2147483647)
         dealt = rest.withColumn("deal", F.pmod(lot, F.lit(groups)).cast("bigint"))
-        last = groups == 1 or number == rounds - 1
         packed = hand_over(
-            _pack_groups(dealt, capacity, number, last).drop("deal"), f"packed-{number}"
+            _pack_groups(dealt, capacity, number).drop("deal"), f"packed-{number}"
         )
-        done.append(packed.where("closed").select(*names, "sequence_id", "offset"))
-        rest = packed.where(~F.col("closed")).select(*names)
-    if not done:
-        none = F.lit(None).cast("bigint")
-        return pieces.limit(0).withColumns({"sequence_id": none, "offset": none})
-    return reduce(DataFrame.unionAll, done)
+        # Every bin has one piece at its begin.
+        opened = {r[0]: r[1] for r in packed.where("offset = 0").groupBy("given_up").count().collect()}
+        bins = sum(opened.values())
+        if last is not None and bins >= last_bins:
+            break
+        if closed + bins <= bound or groups == 1:
+            last = packed
+            break
+        closed += opened.get(False, 0)
+        done.append(packed.where("NOT given_up"))
+        last, last_bins = packed.where("given_up"), opened.get(True, 0)
+        rest = last.select(*names)
+    return reduce(DataFrame.unionAll, [*done, last]).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(

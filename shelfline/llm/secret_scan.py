@@ -2,7 +2,8 @@
 
 One first-order character model is trained on random strings, one on ordinary words; a token is
 reported when the log-likelihood ratio favours the first.  Labelled samples come from the corpus:
-what the fixed patterns match is random, every other word is ordinary.  All documents count.
+what the fixed patterns match is random, every other word that is too short to be judged is
+ordinary.  All documents count.
 """
 
 from __future__ import annotations
@@ -110,8 +111,11 @@ def count_pairs(documents: DataFrame) -> DataFrame:
                 matched = np.cumsum(edges[:-1]) > 0
                 tokens = find_words(part, _OUTSIDE)
                 random = matched[tokens.begin] if len(tokens.begin) else np.zeros(0, bool)
-                # A pattern's keyword is too short to count as random.
-                for label, chosen in ((0, ~random), (1, random & _valued(tokens))):
+                size = tokens.end - tokens.begin
+                # Strings that the models will judge are no samples of ordinary words, and a
+                # pattern's keyword is too short to count as random.
+                kinds = ((0, ~random & (size < LEAST_TOKEN)), (1, random & (size >= LEAST_VALUE)))
+                for label, chosen in kinds:
                     begin, end = tokens.begin[chosen], tokens.end[chosen]
                     if len(begin):
                         codes = _pair_codes(part.data, begin, end)
@@ -134,10 +138,6 @@ def count_pairs(documents: DataFrame) -> DataFrame:
     )
 
 
-def _valued(tokens) -> np.ndarray:
-    return tokens.end - tokens.begin >= LEAST_VALUE
-
-
 @dataclass
 class RandomnessModel:
     ratio: np.ndarray  # log-likelihood ratio of (previous, next)

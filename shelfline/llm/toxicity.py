@@ -101,7 +101,7 @@ def machine(
     index: np.ndarray, row: np.ndarray, rows: int, weights: np.ndarray, factors: np.ndarray
 ) -> np.ndarray:
     """Additive part and interactions of rows with the given active terms."""
-    out = np.bincount(row, weights[index], rows)
+    out = np.bincount(row, weights[index], rows).astype(float)
     for v in factors.T:
         total = np.bincount(row, v[index], rows)
         out += 0.5 * (total**2 - np.bincount(row, v[index] ** 2, rows))

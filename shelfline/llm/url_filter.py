@@ -114,7 +114,7 @@ def judge_templates(leaves: DataFrame, weight: float, z: float) -> DataFrame:
     tally = [F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
     found = leaves.groupBy("host", "template").agg(*tally)
     hosts = found.groupBy("host").agg(*tally)
-    everywhere = hosts.agg(F.sum("bad") / F.sum("labelled")).scalar()
+    everywhere = hosts.agg(F.try_divide(F.sum("bad"), F.sum("labelled"))).scalar()
     hosts = hosts.select(
         "host",
         (
