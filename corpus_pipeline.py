@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scan
-from shelfline.llm.tables import table
+from shelfline.llm.tables import small_batches, table
 from shelfline.session import hand_over
 
 
@@ -35,12 +37,23 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs)
 
 
+def sized(stage):
+    """The stage, with Arrow batches that fit long texts."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("secret_scan", secrets),
-    ("best_fit_packing", best_fit_packing),
+    ("quality_rules", sized(quality)),
+    ("near_duplicates", sized(near_duplicates)),
+    ("decontamination", sized(decontamination)),
+    ("secret_scan", sized(secrets)),
+    ("best_fit_packing", sized(best_fit_packing)),
 ]
 
 # Trained classifiers and tokenizers have no SQL form.

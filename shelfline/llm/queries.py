@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,7 @@ from shelfline.llm import (
     url_filter,
 )
 from shelfline.llm.oracles import ORACLES
-from shelfline.llm.tables import table
+from shelfline.llm.tables import small_batches, table
 
 
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,15 +76,29 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_classifier": op1_quality_classifier,
-    "op2_quality_rules": op2_quality_rules,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_url_filters": op4_url_filters,
-    "op5_benchmark_decontamination": op5_benchmark_decontamination,
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-    "op7_secret_scans": op7_secret_scans,
-    "op8_sharding": op8_sharding,
-    "op9_toxicity": op9_toxicity,
-    "op10_license_scans": op10_license_scans,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _sized(query: Query) -> Query:
+    """The query, with Arrow batches that fit long texts."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, folder)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": _sized(op1_quality_classifier),
+    "op2_quality_rules": _sized(op2_quality_rules),
+    "op3_best_fit_packing": _sized(op3_best_fit_packing),
+    "op4_url_filters": _sized(op4_url_filters),
+    "op5_benchmark_decontamination": _sized(op5_benchmark_decontamination),
+    "op6_ngram_jaccard_join": _sized(op6_ngram_jaccard_join),
+    "op7_secret_scans": _sized(op7_secret_scans),
+    "op8_sharding": _sized(op8_sharding),
+    "op9_toxicity": _sized(op9_toxicity),
+    "op10_license_scans": _sized(op10_license_scans),
 }

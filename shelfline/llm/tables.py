@@ -12,6 +12,16 @@ from shelfline.session import hand_over
 # Narrow sides of up to this many counted rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
+# Whole texts are long, so fewer rows than Spark's default go to Python at a time.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch for this session; a smaller bound that is set stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
