@@ -50,7 +50,7 @@ TYPED = """
   CASE WHEN l.l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l.l_orderkey AS VARCHAR) AS invoice,
   CASE WHEN l.l_partkey % 211 = 0 THEN NULL
        WHEN l.l_partkey % 223 = 0 THEN '' ELSE p.p_brand END AS stock_code,
-  '  ' || p.p_type || ' ' AS description,
+  CASE WHEN l.l_partkey % 3 <> 0 THEN '  ' || p.p_type || ' ' END AS description,
   CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END AS quantity,
   CASE WHEN l.l_orderkey % 1009 = 0 THEN NULL ELSE l.l_shipdate END AS invoice_date,
   CASE WHEN l.l_partkey % 97 = 0 THEN NULL
@@ -66,8 +66,15 @@ cte(
     "raw_once",
     """
 SELECT invoice, stock_code, description, CAST(quantity AS VARCHAR) AS quantity,
-  CASE WHEN okey % 1013 = 0 THEN 'not a date' ELSE CAST(invoice_date AS VARCHAR) END AS invoice_date,
-  CASE WHEN pkey % 101 = 0 THEN 'abc' ELSE CAST(unit_price AS VARCHAR) END AS unit_price,
+  CASE WHEN okey % 1013 = 0 THEN 'not a date' WHEN okey % 101 = 0 THEN '8:26'
+    WHEN okey % 103 = 0 THEN strftime(invoice_date, '%-m/%-d/%Y %-H:%M:%S')
+    WHEN okey % 107 = 0 THEN strftime(invoice_date, '%-m/%-d/%y %-H:%M')
+    WHEN okey % 109 = 0 THEN strftime(invoice_date, '%-m-%-d-%Y %-H:%M')
+    WHEN okey % 113 = 0 THEN strftime(invoice_date, '%-d %b %Y')
+    WHEN okey % 127 = 0 THEN strftime(invoice_date, '%Y%m%d')
+    ELSE CAST(invoice_date AS VARCHAR) END AS invoice_date,
+  CASE WHEN pkey % 101 = 0 THEN 'abc' WHEN pkey % 103 = 0 THEN '0x1p3' WHEN pkey % 107 = 0 THEN '12d'
+    ELSE CAST(unit_price AS VARCHAR) END AS unit_price,
   customer_id, country, okey
 FROM raw_lines""",
     "raw_lines",
@@ -384,11 +391,17 @@ DASHBOARD_DOUBLES = (
 
 # Answers: sources and schema ------------------------------------------------------------
 
+# Of the raw fixture's spellings; a bare time is no date.
+_DATE = """CASE WHEN regexp_matches(invoice_date, '^[0-9]{4}-') THEN TRY_CAST(invoice_date AS TIMESTAMP)
+  ELSE CAST(try_strptime(invoice_date, ['%m/%d/%Y %H:%M:%S', '%m/%d/%y %H:%M', '%m-%d-%Y %H:%M',
+    '%d %b %Y', '%Y%m%d']) AS TIMESTAMP) END"""
+_PRICE = """CASE WHEN regexp_matches(unit_price, '^[-+]?[0-9]+[.]?[0-9]*$')
+  THEN TRY_CAST(unit_price AS DOUBLE) END"""
 _raw_typed = """SELECT invoice, {code} AS stock_code, description,
-  TRY_CAST(quantity AS DOUBLE) AS quantity, TRY_CAST(invoice_date AS TIMESTAMP) AS invoice_date,
-  TRY_CAST(unit_price AS DOUBLE) AS unit_price, customer_id, country FROM raw"""
-oracle("read_transactions", _raw_typed.format(code="NULLIF(stock_code, '')"), "raw", doubles="quantity unit_price")
-oracle("normalize_column_names", _raw_typed.format(code="stock_code"), "raw", doubles="quantity unit_price")
+  TRY_CAST(quantity AS DOUBLE) AS quantity, {date} AS invoice_date,
+  {price} AS unit_price, customer_id, country FROM raw"""
+oracle("read_transactions", _raw_typed.format(code="NULLIF(stock_code, '')", date=_DATE, price=_PRICE), "raw", doubles="quantity unit_price")
+oracle("normalize_column_names", _raw_typed.format(code="stock_code", date=_DATE, price=_PRICE), "raw", doubles="quantity unit_price")
 _renamed = """SELECT sales_date, stock_code, market_id, net_sales_qty AS actual_sales,
   forecast_net_sales_qty AS forecast_sales FROM forecast{n}"""
 oracle(
@@ -414,7 +427,7 @@ oracle(
     "dim_product",
     """SELECT stock_code, description FROM (
   SELECT stock_code, description, ROW_NUMBER() OVER (PARTITION BY stock_code
-    ORDER BY COUNT(*) DESC, description) AS place
+    ORDER BY description IS NULL, COUNT(*) DESC, description) AS place
   FROM fact WHERE stock_code IS NOT NULL GROUP BY stock_code, description) WHERE place = 1""",
     "fact",
 )
@@ -429,13 +442,12 @@ oracle(
 
 # Answers: quality -----------------------------------------------------------------------
 
-_PRICE = "TRY_CAST(unit_price AS DOUBLE)"
 _TOTAL = "(SELECT COUNT(*) FROM raw)"
 _counts = {
     "negative": f"(SELECT COUNT(*) FROM raw WHERE {_PRICE} <= 0)",
     "price": f"(SELECT COUNT(*) FROM raw WHERE {_PRICE} IS NULL)",
     "copies": "(SELECT COUNT(*) FROM raw) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw))",
-    "date": "(SELECT COUNT(*) FROM raw WHERE TRY_CAST(invoice_date AS TIMESTAMP) IS NULL)",
+    "date": f"(SELECT COUNT(*) FROM raw WHERE {_DATE} IS NULL)",
     "code": "(SELECT COUNT(*) FROM raw WHERE stock_code IS NULL OR TRIM(stock_code) = '')",
     "returned": "(SELECT COUNT(*) FROM raw WHERE COALESCE(invoice LIKE 'C%', FALSE) "
     "OR COALESCE(TRY_CAST(quantity AS DOUBLE) < 0, FALSE))",
@@ -464,11 +476,13 @@ def _zero(key: str) -> str:
     return f"({_counts[key]} = 0)"
 
 
-_positive = ("every known price is positive", "some prices are zero or negative")
+_positive = ("every known price is positive", "zero or negative prices occur")
 CHECKS = {
     "check_required_columns": _check(
-        "required_columns", "missing_columns", "0", "TRUE", "all required columns are present", ""
-    ),
+        "required_columns", "rows", _TOTAL, "TRUE", "all required columns are present", ""
+    )
+    + " UNION ALL "
+    + _check("required_columns", "missing_columns", "0", "TRUE", "all required columns are present", ""),
     "check_negative_prices": _check(
         "negative_or_zero_prices", "invalid_price_rows", _counts["negative"], _zero("negative"), *_positive
     )
@@ -476,7 +490,7 @@ CHECKS = {
     + _check("negative_or_zero_prices", "missing_price_rows", _counts["price"], _zero("negative"), *_positive),
     "check_duplicate_rows": _count_and_share(
         "duplicate_transaction_rows", "duplicates", "copies", _zero("copies"),
-        "no row occurs twice", "some rows occur more than once",
+        "no row occurs twice", "rows repeat others in full",
     ),
     "check_missing_invoice_date": _count_and_share(
         "missing_invoice_date", "missing_invoice_date", "date", _zero("date"),
@@ -721,6 +735,48 @@ oracle(
     doubles=f"net_sales_qty avg_unit_price {FEATURE_DOUBLES}",
 )
 
+# What SQL knows of the model without training it.
+_LATE = f"FROM matrix, late{YEAR} WHERE sales_date >= start"
+oracle(
+    "predict_non_negative",
+    f"SELECT {KEYS}, TRUE AS usable {_LATE}",
+    "matrix",
+    f"late{YEAR}",
+    doubles="net_sales_qty",
+)
+oracle(
+    "evaluate_model",
+    f"""SELECT COUNT(*) AS rows, SUM(ABS(net_sales_qty)) AS actual, TRUE AS mae_within_rmse,
+  TRUE AS wmape_is_mae_share, TRUE AS rates_add_up {_LATE}""",
+    "matrix",
+    f"late{YEAR}",
+    doubles="actual",
+)
+oracle(
+    "compare_with_best_baseline",
+    "SELECT 'model' AS source, 'wmape' AS metric, TRUE AS positive, CAST(NULL AS DOUBLE) AS baseline_value "
+    f"UNION ALL SELECT baseline, metric, value > 0, value FROM ({_BEST})",
+    "scores",
+    doubles="baseline_value",
+)
+for _name, _known in (("feature_importance", "sums_to_one"), ("feature_split_counts", "any_split")):
+    oracle(
+        _name,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, COUNT({c}) AS known_rows, TRUE AS {_known} FROM matrix"
+            for c in MODEL_FEATURES
+        ),
+        "matrix",
+    )
+oracle(
+    "modeling_run",
+    f"""SELECT sales_date, COUNT(*) AS rows, SUM(net_sales_qty) AS actual_sales,
+  TRUE AS forecast_not_negative {_LATE} GROUP BY sales_date""",
+    "matrix",
+    f"late{YEAR}",
+    doubles="actual_sales",
+)
+
 # Answers: inventory ---------------------------------------------------------------------
 
 oracle(

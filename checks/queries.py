@@ -41,7 +41,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 YEAR = 365
-TREES = 20
 FORECAST_HEADERS = ["Date", "Stock-Code", "Market ID", "Actual Qty", "Model Forecast"]
 SOURCES = {"model": "moving_average_28", "naive": "naive_last_value"}
 
@@ -69,15 +68,9 @@ def fact(spark, folder):
 
 
 def mart(spark, folder):
-    """The mart for queries of few columns."""
     return M.daily_sales_mart(fact(spark, folder))
 
 
-def whole_mart(spark, folder):
-    """The mart for queries of all columns, which read the facts several times."""
-    return M.daily_sales_mart(hand_over(fact(spark, folder), "facts"))
-
-
 def sales_table(spark, folder):
     """Target and revenue of the mart as a stored table, for queries that read it repeatedly."""
     return hand_over(mart(spark, folder).select(*MART_KEYS, TARGET, "revenue"), "sales")
@@ -103,7 +96,7 @@ def all_baselines(spark, folder, days=YEAR):
 
 
 def policy(spark, folder, days=YEAR):
-    return I.inventory_policy_table(forecast(spark, folder, days), require_rows=False)
+    return I.inventory_policy(forecast(spark, folder, days), require_rows=False)
 
 
 def segments(spark, folder):
@@ -218,7 +211,7 @@ def prepare_transactions(spark, folder):
 
 @query
 def mart_daily_sales(spark, folder):
-    return whole_mart(spark, folder)
+    return mart(spark, folder)
 
 
 # Features -------------------------------------------------------------------------------
@@ -258,12 +251,12 @@ _register_feature("zero_sales_streak", X.add_zero_sales_features, ["zero_sales_s
 
 @query
 def feature_view(spark, folder):
-    return X.feature_view(whole_mart(spark, folder))
+    return X.feature_view(mart(spark, folder))
 
 
 @query
 def feature_matrix(spark, folder):
-    return X.feature_matrix(whole_mart(spark, folder))
+    return X.feature_matrix(mart(spark, folder))
 
 
 @query
@@ -285,9 +278,9 @@ def lag_rolling_generic(spark, folder):
 
 @query
 def lag_rolling_split_groups(spark, folder):
-    """The same with every market treated as too large for one task."""
+    """The same, cut into many short runs."""
     return X.add_lag_rolling_features(
-        market_days(spark, folder), ["market_id"], "sales", lags=(1, 7), windows=(3, 14), hot_rows=1000
+        market_days(spark, folder), ["market_id"], "sales", lags=(1, 7), windows=(3, 14), run_rows=1000
     )
 
 
@@ -435,7 +428,7 @@ def abc_xyz_compat(spark, folder):
 
 
 def model_features(spark, folder):
-    return hand_over(X.feature_matrix(whole_mart(spark, folder)), "features")
+    return hand_over(X.feature_matrix(mart(spark, folder)), "features")
 
 
 @query
@@ -464,23 +457,57 @@ def modeling(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
     if key not in _runs:
         baselines = B.baseline_metrics(all_baselines(spark, folder))
-        features = X.feature_matrix(whole_mart(spark, folder))
-        _runs[key] = L.run_modeling(features, baselines, YEAR, TREES)
+        features = X.feature_matrix(mart(spark, folder))
+        _runs[key] = L.run_modeling(features, baselines, YEAR)
     return _runs[key]
 
 
 @query
 def predict_non_negative(spark, folder):
+    """Every holdout row, and whether its forecast is a number of at least zero."""
+    usable = F.coalesce((F.col(FORECAST) >= 0) & ~F.isnan(FORECAST), F.lit(False))
+    return modeling(spark, folder)["forecast"].select(*MART_KEYS, TARGET, usable.alias("usable"))
+
+
+@query
+def model_forecast(spark, folder):
     return modeling(spark, folder)["forecast"].select(*MART_KEYS, TARGET, FORECAST)
 
 
 @query
 def evaluate_model(spark, folder):
+    """The holdout's size and what must hold between the metrics."""
+    run = modeling(spark, folder)
+    rows = run["forecast"].agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.abs(TARGET)).alias("actual")
+    )
+    near = F.abs(F.col("mae") * F.col("rows") - F.col("wmape") * F.col("actual"))
+    rates = F.col("service_level_proxy") + F.col("stockout_risk_rate")
+    return rows.join(F.broadcast(run["metrics"].limit(1)), F.lit(True)).select(
+        "rows",
+        "actual",
+        (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"),
+        (near <= 1e-6 * F.col("actual")).alias("wmape_is_mae_share"),
+        (F.abs(rates - 1) < 1e-9).alias("rates_add_up"),
+    )
+
+
+@query
+def model_metrics(spark, folder):
     return modeling(spark, folder)["metrics"]
 
 
 @query
 def compare_with_best_baseline(spark, folder):
+    """The comparison, without the model's own value."""
+    value = F.when(F.col("source") != "model", F.col("value"))
+    return modeling(spark, folder)["comparison"].select(
+        "source", "metric", (F.col("value") > 0).alias("positive"), value.alias("baseline_value")
+    )
+
+
+@query
+def model_comparison(spark, folder):
     return modeling(spark, folder)["comparison"]
 
 
@@ -492,19 +519,60 @@ def compare_baseline_with_best(spark, folder):
     return L.compare_with_best_baseline(own, B.baseline_metrics(rows))
 
 
+def known_rows(run, spark, folder):
+    """Rows in which each model feature has a value."""
+    rows = X.feature_matrix(mart(spark, folder))
+    known = rows.agg(*(F.count(c).alias(c) for c in run["feature_columns"]))
+    return known.unpivot([], run["feature_columns"], "feature", "known_rows")
+
+
 @query
 def feature_importance(spark, folder):
+    """The features, and whether their gains add up to one."""
+    run = modeling(spark, folder)
+    gains = run["feature_importance"]
+    whole = gains.agg(F.abs(F.sum("importance") - 1) < 1e-6).scalar()
+    return (
+        gains.join(known_rows(run, spark, folder), "feature")
+        .select("feature", "known_rows", whole.alias("sums_to_one"))
+    )
+
+
+@query
+def model_importance(spark, folder):
     return modeling(spark, folder)["feature_importance"]
 
 
 @query
 def feature_split_counts(spark, folder):
+    """The features, and whether any of them was split on."""
+    run = modeling(spark, folder)
+    splits = L.split_counts(run["model"], run["forecast"])
+    some = splits.agg(F.sum("importance") > 0).scalar()
+    return (
+        splits.join(known_rows(run, spark, folder), "feature")
+        .select("feature", "known_rows", some.alias("any_split"))
+    )
+
+
+@query
+def model_split_counts(spark, folder):
     run = modeling(spark, folder)
     return L.split_counts(run["model"], run["forecast"])
 
 
 @query
 def modeling_run(spark, folder):
+    """Rows and actual sums per day of the modelled holdout."""
+    return modeling(spark, folder)["forecast"].groupBy(DATE).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(TARGET).alias("actual_sales"),
+        (F.min(FORECAST) >= 0).alias("forecast_not_negative"),
+    )
+
+
+@query
+def model_daily(spark, folder):
     """Daily actual and forecast sums of the modelled holdout."""
     return R.daily_actual_vs_forecast(modeling(spark, folder)["forecast"])
 
@@ -555,7 +623,7 @@ def inventory_metrics_28(spark, folder):
 
 @query
 def inventory_policy_table(spark, folder):
-    return policy(spark, folder)
+    return I.inventory_policy_table(forecast(spark, folder), require_rows=False)
 
 
 @query

@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DATE_FORMATS = ("M/d/yyyy H:mm", "M/d/yyyy")
+# Beside ISO.  Where day and month could be either, the month comes first.
+DATE_FORMATS = (
+    "M/d/yyyy[ H:mm[:ss]]",
+    "M-d-yyyy[ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss]]",
+    "yyyyMMdd[ H:mm[:ss]]",
+)
+SHORT_YEAR = "M/d/yy[ H:mm[:ss]]"  # 69 to 99 are of the last century
+ISO_DATE = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+DECIMAL = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def column_or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -19,9 +28,8 @@ def number(df: DataFrame, name: str) -> Column:
     column = column_or_null(df, name)
     value = column.try_cast("double")
     if name in df.columns and isinstance(df.schema[name].dataType, T.StringType):
-        # Java also reads type suffixes such as '12d', which are not numbers in a data file.
-        text = F.lower(F.trim(column))
-        value = F.when(text.endswith("d") | (text.endswith("f") & ~text.endswith("inf")), None).otherwise(value)
+        # Java also reads type suffixes and hexadecimal, which are no numbers in a data file.
+        value = F.when(column.rlike(DECIMAL), value)
     return F.when(~F.isnan(value), value)
 
 
@@ -30,10 +38,13 @@ def moment(df: DataFrame, name: str, formats: tuple[str, ...] = DATE_FORMATS) ->
     column = column_or_null(df, name)
     if name not in df.columns or not isinstance(df.schema[name].dataType, T.StringType):
         return column.try_cast("timestamp")
-    return F.coalesce(
-        column.try_cast("timestamp"),
-        *(F.try_to_timestamp(column, F.lit(pattern)) for pattern in formats),
-    )
+    # A bare time would otherwise be read as that time of today.
+    iso = F.when(column.rlike(ISO_DATE), column.try_cast("timestamp"))
+    text = F.trim(column)
+    short = F.try_to_timestamp(text, F.lit(SHORT_YEAR))
+    short = F.when(F.year(short) > 2068, short - F.expr("INTERVAL 100 YEARS")).otherwise(short)
+    spelled = (F.try_to_timestamp(text, F.lit(pattern)) for pattern in formats)
+    return F.coalesce(iso, *spelled, short)
 
 
 def share(part: Column, total: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions.metrics import METRICS, forecast_metrics
-from shelfline.operators.features import one_row_per_day, past, series_window
-from shelfline.operators.ordered import HOT_GROUP_ROWS, with_frames
+from shelfline.operators.features import past, series_window
+from shelfline.operators.ordered import RUN_ROWS, with_frames
 from shelfline.schema import DATE, SERIES_KEYS, TARGET, require_columns
 
 BASELINES = [
@@ -55,13 +55,12 @@ def add_baselines(
 
 
 def _add_frame(
-    df: DataFrame, name: str, target: str, groups: list[str] | None, reach: int, hot_rows: int, make
+    df: DataFrame, name: str, target: str, groups: list[str] | None, reach: int, run_rows: int, make
 ) -> DataFrame:
     groups = groups or SERIES_KEYS
     date = DATE if DATE in df.columns else "date"
     require_columns(df, [*groups, date, target], "baseline input")
-    limit = None if one_row_per_day(groups, date) else hot_rows
-    return with_frames(df, groups, date, reach, lambda w: {name: make(w)}, limit)
+    return with_frames(df, groups, date, reach, lambda w: {name: make(w)}, run_rows)
 
 
 def add_seasonal_naive(
@@ -70,11 +69,11 @@ def add_seasonal_naive(
     group_columns: list[str] | None = None,
     target: str = TARGET,
     name: str = "seasonal_naive",
-    hot_rows: int = HOT_GROUP_ROWS,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Value `season_length` rows earlier in the group."""
     return _add_frame(
-        df, name, target, group_columns, season_length, hot_rows,
+        df, name, target, group_columns, season_length, run_rows,
         lambda w: F.lag(target, season_length).over(w),
     )
 
@@ -85,11 +84,11 @@ def add_moving_average(
     group_columns: list[str] | None = None,
     target: str = TARGET,
     name: str = "moving_average",
-    hot_rows: int = HOT_GROUP_ROWS,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Mean of the `window` earlier rows in the group."""
     return _add_frame(
-        df, name, target, group_columns, window, hot_rows,
+        df, name, target, group_columns, window, run_rows,
         lambda w: F.avg(target).over(past(w, window)),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -60,8 +62,10 @@ def choose_inventory_source(inventory: DataFrame) -> DataFrame:
         any_model = inventory.agg(F.bool_or(from_model).alias("any_model")).scalar()
         inventory = inventory.where(from_model | ~any_model)
     rest = sorted(set(inventory.columns) - set(SERIES_KEYS))
-    # The smallest row wins; a hash aggregate, so copies of one key are merged map-side.
-    first = inventory.groupBy(*SERIES_KEYS).agg(F.min(F.struct(*rest)).alias("first"))
+    # The row with the fewest missing values wins, then the smallest; copies of one key are merged
+    # map-side, by sorting.
+    gaps = reduce(lambda a, b: a + b, (F.col(name).isNull().cast("int") for name in rest), F.lit(0))
+    first = inventory.groupBy(*SERIES_KEYS).agg(F.min(F.struct(gaps, F.struct(*rest)))["col2"].alias("first"))
     return first.select(*SERIES_KEYS, "first.*").select(*inventory.columns)
 
 
@@ -109,15 +113,11 @@ def dashboard_dataset(
     held = {"metrics": COMPUTED, "segments": segments.columns, "stock": stock.columns}
     own = set(rows.columns) - set(COMPUTED)
     picked = [first_source(name) for name in DASHBOARD_COLUMNS if name not in own]
-    known_errors = [F.col("stock.forecast_error").alias("_error")] if "forecast_error" in stock.columns else []
     side = sides.select(
         *(F.col(f"metrics.{key}").alias(key) for key in SERIES_KEYS),
         *(column for column in picked if column is not None),
-        *known_errors,
     )
     board = rows.drop(*COMPUTED).join(side, SERIES_KEYS, "left")
-    if known_errors:
-        board = board.withColumn("forecast_error", F.coalesce("forecast_error", "_error"))
     absent = {"description": F.lit("")}
     return board.withColumns(
         {

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import monday_calendar
-from shelfline.operators.ordered import HOT_GROUP_ROWS, with_frames
+from shelfline.operators.ordered import RUN_ROWS, with_frames
 from shelfline.schema import DATE, SERIES_KEYS, TARGET, require_columns
 
 FEATURE_INPUTS = [DATE, *SERIES_KEYS, TARGET, "avg_unit_price", "invoices_cnt", "customers_cnt"]
@@ -27,11 +27,6 @@ def past(window: WindowSpec, rows: int | None = None) -> WindowSpec:
     return window.rowsBetween(start, -1)
 
 
-def one_row_per_day(groups: list[str], date: str) -> bool:
-    """Whether groups are series of the mart, whose length the calendar bounds."""
-    return date == DATE and set(SERIES_KEYS) <= set(groups)
-
-
 def _lags(w: WindowSpec) -> dict[str, Column]:
     lags = {f"lag_{n}": F.lag(TARGET, n).over(w) for n in (7, 14, 28)}
     for count in ("invoices_cnt", "customers_cnt"):
@@ -125,7 +120,7 @@ def add_lag_rolling_features(
     target: str = TARGET,
     lags: tuple[int, ...] = (7, 14, 28),
     windows: tuple[int, ...] = (7, 28),
-    hot_rows: int = HOT_GROUP_ROWS,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Lags and rolling means for any grouping; the date column is sales_date or date."""
     groups = group_columns or SERIES_KEYS
@@ -137,5 +132,4 @@ def add_lag_rolling_features(
         added |= {f"rolling_mean_{n}": F.avg(target).over(past(w, n)) for n in windows}
         return added
 
-    limit = None if one_row_per_day(groups, date) else hot_rows
-    return with_frames(df, groups, date, max([*lags, *windows]), columns, limit)
+    return with_frames(df, groups, date, max([*lags, *windows]), columns, run_rows)

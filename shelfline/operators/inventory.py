@@ -116,14 +116,14 @@ def inventory_metrics(df: DataFrame) -> DataFrame:
     return policy.select(*METRIC_COLUMNS)
 
 
-def inventory_policy_table(
+def inventory_policy(
     df: DataFrame,
     lead_time_days: int = LEAD_TIME_DAYS,
     z_score: float = Z_SCORE,
     available_stock_multiplier: float = 1.0,
     require_rows: bool = True,
 ) -> DataFrame:
-    """The policy table, riskiest groups first.
+    """The policy of every group, in no order.
 
     `require_rows` looks for one usable row and fails without; switch it off for a lazily
     derived input, which that look would compute a second time.
@@ -132,7 +132,19 @@ def inventory_policy_table(
     if require_rows and rows.isEmpty():
         raise ValueError("no complete forecast rows for the inventory policy")
     policy = _policy(rows, SERIES_KEYS, lead_time_days, z_score, available_stock_multiplier)
-    return policy.select(*POLICY_COLUMNS).orderBy(
+    return policy.select(*POLICY_COLUMNS)
+
+
+def inventory_policy_table(
+    df: DataFrame,
+    lead_time_days: int = LEAD_TIME_DAYS,
+    z_score: float = Z_SCORE,
+    available_stock_multiplier: float = 1.0,
+    require_rows: bool = True,
+) -> DataFrame:
+    """The policy as a report, riskiest groups first."""
+    policy = inventory_policy(df, lead_time_days, z_score, available_stock_multiplier, require_rows)
+    return policy.orderBy(
         F.desc("stockout_risk_rate"),
         F.desc("overstock_risk_rate"),
         F.desc("forecast_error"),

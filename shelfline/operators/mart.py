@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import moment, number, sunday_calendar
@@ -49,50 +49,76 @@ def with_mart_keys(fact: DataFrame) -> DataFrame:
     return fact.where(present)
 
 
-def _daily_sums(keyed: DataFrame) -> DataFrame:
-    returned, quantity = F.col("is_return_flag"), F.col("quantity")
-    return keyed.groupBy(*MART_KEYS).agg(
-        F.sum(F.when(returned, 0.0).otherwise(quantity)).alias("sales_qty"),
-        F.avg(F.when(~F.col("is_price_invalid"), F.col("unit_price"))).alias("avg_unit_price"),
-        F.sum("revenue").alias("revenue"),
-        F.abs(F.sum(F.when(returned, quantity).otherwise(0.0))).alias("returns_qty"),
-        F.sum("quantity").alias("net_sales_qty"),
-        F.bool_or("is_return_flag").alias("is_return_flag"),
-        F.bool_or("is_price_missing").alias("is_price_missing"),
-    )
-
-
-def _daily_counts(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy(*MART_KEYS).agg(
-        F.count_distinct("invoice").alias("invoices_cnt"),
-        F.count_distinct("customer_id").alias("customers_cnt"),
-    )
-
-
-def _daily_description(keyed: DataFrame) -> DataFrame:
-    """Any description would do per mart row; the smallest makes the result repeatable."""
-    used = keyed.select(*MART_KEYS, "description").distinct()
-    return used.groupBy(*MART_KEYS).agg(F.min("description").alias("description"))
+def _mart_parts(keyed: DataFrame) -> DataFrame:
+    """Each fact row three times: with its invoice and all it adds up to, with its customer, and
+    with its description, as `kind` and `text`."""
+    returned, quantity, price = F.col("is_return_flag"), F.col("quantity"), F.col("unit_price")
+    added = {
+        "sales_qty": F.when(returned, 0.0).otherwise(quantity),
+        "returns_qty": F.when(returned, quantity).otherwise(0.0),
+        "net_sales_qty": quantity,
+        "revenue": F.col("revenue"),
+        "price_sum": F.when(~F.col("is_price_invalid"), price),
+        "price_rows": F.when(~F.col("is_price_invalid") & price.isNotNull(), 1).otherwise(0),
+        "is_return_flag": returned,
+        "is_price_missing": F.col("is_price_missing"),
+    }
+    kinds = {"invoice": added, "customer_id": {}, "description": {}}
+    parts = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.col(kind).alias("text"),
+            *(
+                values.get(name, F.lit(None)).cast(_PART_TYPES[name]).alias(name)
+                for name in _PART_TYPES
+            ),
+        )
+        for kind, values in kinds.items()
+    ]
+    return keyed.select(*MART_KEYS, F.inline(F.array(*parts)))
+
+
+_PART_TYPES = {
+    "sales_qty": "double",
+    "returns_qty": "double",
+    "net_sales_qty": "double",
+    "revenue": "double",
+    "price_sum": "double",
+    "price_rows": "bigint",
+    "is_return_flag": "boolean",
+    "is_price_missing": "boolean",
+}
+
+
+def _totals() -> list[Column]:
+    return [
+        (F.bool_or if kind == "boolean" else F.sum)(name).alias(name)
+        for name, kind in _PART_TYPES.items()
+    ]
 
 
 def daily_sales_mart(fact: DataFrame) -> DataFrame:
-    """One row per sales_date x stock_code x market_id.
+    """One row per sales_date x stock_code x market_id; any description, the smallest, stands.
 
-    Sums, distinct counts and the description are three narrow aggregations joined on their
-    common partitioning.  In one aggregation, the distinct counts would multiply every row with
-    all its sums, and the text would turn hash into sort aggregation.  Distinct counts group by
-    key plus invoice / customer first, so a hot key spreads over its invoices.  Spark leaves out
-    the joins whose columns nobody reads; `fact` should be a stored table.
+    One scan and two exchanges.  Rows are first grouped by key and distinct invoice, customer or
+    description, so a key that holds a third of all rows spreads over its invoices; the distinct
+    counts then are plain counts.  The first grouping is a hash aggregation with map-side
+    partials; only its result is sorted, for the smallest text.
     """
-    keyed = with_mart_keys(fact)
-    # All sides are as long as the mart and already partitioned by its keys: merging them needs
-    # no shuffle, while a broadcast would copy the mart.
-    daily = (
-        _daily_sums(keyed)
-        .join(_daily_counts(keyed).hint("merge"), MART_KEYS, "left")
-        .join(_daily_description(keyed).hint("merge"), MART_KEYS, "left")
+    once = _mart_parts(with_mart_keys(fact)).groupBy(*MART_KEYS, "kind", "text").agg(*_totals())
+    daily = once.groupBy(*MART_KEYS).agg(
+        *_totals(),
+        F.count(F.when(F.col("kind") == "invoice", F.col("text"))).alias("invoices_cnt"),
+        F.count(F.when(F.col("kind") == "customer_id", F.col("text"))).alias("customers_cnt"),
+        F.min(F.when(F.col("kind") == "description", F.col("text"))).alias("description"),
+    )
+    dated = daily.withColumns(
+        {
+            "returns_qty": F.abs("returns_qty"),
+            "avg_unit_price": F.try_divide(F.col("price_sum"), F.col("price_rows")),
+            **sunday_calendar(F.col("sales_date")),
+        }
     )
-    dated = daily.withColumns(sunday_calendar(F.col("sales_date")))
     return dated.select(*MART_SCHEMA.fieldNames())
 
 
@@ -102,7 +128,8 @@ def dim_date(fact: DataFrame) -> DataFrame:
 
 
 def dim_product(fact: DataFrame) -> DataFrame:
-    """Most frequent description per product; the smallest one among equals."""
+    """Most frequent description per product, the smallest one among equals; none only where no
+    row has one."""
     uses = (
         fact.where(F.col("stock_code").isNotNull())
         .groupBy("stock_code", "description")

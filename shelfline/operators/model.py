@@ -94,10 +94,20 @@ def train_model(
     """Fit the trees; missing features are set to the training median."""
     shared_folder(train.sparkSession)  # lets boosting checkpoint its residuals every few trees
     rows = _model_input(train.select(target, *names), names).persist()
-    known = rows.agg(*(F.count(f"_x_{n}").alias(n) for n in names)).first().asDict()
-    if not any(known.values()):
-        raise ValueError("no feature of the training rows has a value")
-    used = [n for n in names if known[n]]
+    try:
+        known = rows.agg(*(F.count(f"_x_{n}").alias(n) for n in names)).first().asDict()
+        if not any(known.values()):
+            raise ValueError("no feature of the training rows has a value")
+        used = [n for n in names if known[n]]
+        fitted = _pipeline(used, target, trees, learning_rate, depth, seed).fit(rows)
+    finally:
+        rows.unpersist()
+    return DemandModel(fitted, names, used)
+
+
+def _pipeline(
+    used: list[str], target: str, trees: int, learning_rate: float, depth: int, seed: int
+) -> Pipeline:
     filled = [f"_fill_{n}" for n in used]
     stages = [
         Imputer(strategy="median", inputCols=[f"_x_{n}" for n in used], outputCols=filled),
@@ -112,9 +122,7 @@ def train_model(
             seed=seed,
         ),
     ]
-    fitted = Pipeline(stages=stages).fit(rows)
-    rows.unpersist()
-    return DemandModel(fitted, names, used)
+    return Pipeline(stages=stages)
 
 
 def predict_non_negative(model: DemandModel, df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ block gets its start offset from the sums of the blocks before it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 
 from shelfline.session import cut_lineage
 
-# A plain window keeps one group in one task; groups above this size are split.
-HOT_GROUP_ROWS = 1_000_000
+RUN_ROWS = 100_000  # consecutive rows of a group that one task takes
+SHARES = 1024  # blocks that one date of a group is numbered in
 
 
 def _range_blocks(df: DataFrame, order: list[Column], blocks: int | None) -> DataFrame:
@@ -60,39 +61,47 @@ def with_frames(
     order: str,
     reach: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
-    hot_rows: int | None = HOT_GROUP_ROWS,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
-    """Add window columns that look at most `reach` rows back within a group.
+    """Add window columns that look at most `reach` rows back within a group of any size.
 
-    Groups of a known bound (`hot_rows` is None) get a plain window.  Others are counted first,
-    so pass a stored table.  If one exceeds `hot_rows`, every group is cut into runs of
-    consecutive rows; each run also receives the last `reach` rows of the run before it, so the
-    frames are exact while no task holds more than one run.  Rows that share a date are ordered
-    by their remaining columns, which keeps results repeatable and lets runs cut through a date.
+    Every row gets its position in its group: rows are numbered inside blocks (group, date, share
+    of the hash of the other columns), and only block counts are summed over a group.  Groups are
+    then cut into runs of `run_rows` consecutive rows; each run also receives the last `reach`
+    rows of the run before it, so the frames are exact while no task holds more than one run or
+    block.  Rows that share a date follow each other by that hash share and then by their other
+    columns: a fixed order, the same for every cut.
     """
-    if hot_rows is None:
-        return df.withColumns(columns(Window.partitionBy(*groups).orderBy(order)))
     ties = [
         f.name
         for f in df.schema.fields
         if f.name not in (*groups, order)
         and not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
-    largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        return df.withColumns(columns(Window.partitionBy(*groups).orderBy(order, *ties)))
-
-    size = max(hot_rows, 2 * reach)
-    keys = [F.col(name) for name in [*groups, order, *ties]]
-    placed = running_total(df, F.lit(1), keys, "_position").withColumn(
-        "_run", F.floor((F.col("_position") - 1) / size)
+    block = [*groups, order, "_share"]
+    placed = df.withColumn("_share", F.pmod(F.xxhash64(*ties), F.lit(SHARES)) if ties else F.lit(0))
+    counted = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*groups).orderBy(order, "_share").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = counted.select(
+        *(F.col(name).alias(f"_in_{name}") for name in block),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
+    )
+    inside = Window.partitionBy(*block).orderBy(*(ties or [F.lit(0)]))
+    same = reduce(
+        lambda a, b: a & b, (F.col(name).eqNullSafe(F.col(f"_in_{name}")) for name in block)
     )
-    feeds_next = (F.col("_position") - 1) % size >= size - reach
+    size = max(run_rows, 2 * reach)
+    numbered = (
+        placed.withColumn("_inside", F.row_number().over(inside) - 1)
+        .join(starts, same)
+        .withColumn("_position", F.col("_start") + F.col("_inside"))
+        .withColumn("_run", F.floor(F.col("_position") / size))
+    )
+    feeds_next = F.col("_position") % size >= size - reach
     homes = F.when(feeds_next, F.array("_run", F.col("_run") + 1)).otherwise(F.array("_run"))
-    spread = placed.withColumn("_home", F.explode(homes))
+    spread = numbered.withColumn("_home", F.explode(homes))
     frames = columns(Window.partitionBy("_home", *groups).orderBy("_position"))
-    return (
-        spread.withColumns(frames)
-        .where(F.col("_home") == F.col("_run"))
-        .drop("_position", "_run", "_home")
-    )
+    found = spread.withColumns(frames).where(F.col("_home") == F.col("_run"))
+    return found.select(*df.columns, *frames)

@@ -59,7 +59,7 @@ def _required_row(df: DataFrame) -> Column:
     missing = missing_columns(df, TRANSACTION_COLUMNS)
     return _row(
         "required_columns",
-        {"missing_columns": F.lit(len(missing))},
+        {"rows": F.col("total"), "missing_columns": F.lit(len(missing))},
         F.lit(not missing),
         "all required columns are present",
         "missing columns: " + ", ".join(missing),
@@ -80,14 +80,14 @@ def _rows() -> dict[str, Column]:
             },
             none("price_invalid"),
             "every known price is positive",
-            "some prices are zero or negative",
+            "zero or negative prices occur",
         ),
         "duplicate_transaction_rows": _row(
             "duplicate_transaction_rows",
             _count_and_share("duplicates", "copies"),
             none("copies"),
             "no row occurs twice",
-            "some rows occur more than once",
+            "rows repeat others in full",
         ),
         "missing_invoice_date": _row(
             "missing_invoice_date",
@@ -125,16 +125,18 @@ def _grouped_counts(df: DataFrame) -> DataFrame:
     return groups.agg(*(c.alias(n) for n, c in _counts(groups, F.col("_copies")).items()))
 
 
+def _single_counts(df: DataFrame) -> DataFrame:
+    return df.agg(*(c.alias(n) for n, c in _counts(df, F.lit(1)).items()))
+
+
 def _single(df: DataFrame, check: str) -> DataFrame:
-    if check == "duplicate_transaction_rows":
-        counts = _grouped_counts(df)
-    else:
-        counts = df.agg(*(c.alias(n) for n, c in _counts(df, F.lit(1)).items()))
+    duplicates = check == "duplicate_transaction_rows"
+    counts = _grouped_counts(df) if duplicates else _single_counts(df)
     return counts.select(F.inline(F.array(_rows()[check])))
 
 
 def check_required_columns(df: DataFrame) -> DataFrame:
-    return df.sparkSession.range(1).select(F.inline(F.array(_required_row(df))))
+    return _single_counts(df).select(F.inline(F.array(_required_row(df))))
 
 
 def check_negative_prices(df: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def _distinct_days(df: DataFrame, date_column: str) -> DataFrame:
     return days.where(F.col("day").isNotNull()).distinct()
 
 
-def _checked(ok: Column, value: Column, message: str) -> Column:
-    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast("date"))
+def _checked(ok: Column, value: Column, message: str, kind: str = "date") -> Column:
+    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
 
 
 def holdout_start(df: DataFrame, date_column: str = DATE, holdout_days: int = 28) -> Column:
@@ -71,13 +71,15 @@ def make_time_splits(
     days = _distinct_days(df, date_column).agg(F.sort_array(F.collect_list("day")).alias("days"))
     needed = n_splits * horizon_days + 1 + gap
     start = F.size("days") - (n_splits - F.col("split") + 1) * horizon_days
+    # Whichever columns are read, too few dates are an error.
+    enough = F.size("days") >= needed
+    days = days.select(_checked(enough, F.col("days"), f"{needed} dates are needed", "array<date>").alias("days"))
     folds = days.select(
         "days", F.explode(F.sequence(F.lit(1), F.lit(n_splits))).alias("split")
     ).withColumn("start", start)
-    enough = F.size("days") >= needed
     return folds.select(
         "split",
-        _checked(enough, F.get("days", F.lit(0)), f"{needed} dates are needed").alias("train_start"),
+        F.get("days", F.lit(0)).alias("train_start"),
         F.get("days", F.col("start") - 1 - gap).alias("train_end"),
         F.get("days", F.col("start")).alias("valid_start"),
         F.get("days", F.col("start") + horizon_days - 1).alias("valid_end"),
@@ -113,9 +115,10 @@ def assign_folds(df: DataFrame, folds: DataFrame, date_column: str = DATE) -> Da
         for role in ("train", "valid")
     ]
     table = folds.agg(F.flatten(F.collect_list(F.array(*ranges)))).scalar()
-    member = _day(date_column).between(F.col("fold.start"), F.col("fold.end"))
+    day = _day(date_column)
+    own = F.filter("_folds", lambda fold: day.between(fold["start"], fold["end"]))
     return (
-        df.withColumn("fold", F.explode(table))
-        .where(member)
+        df.withColumn("_folds", table)
+        .withColumn("fold", F.explode(own))
         .select(*df.columns, "fold.split", "fold.role")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from shelfline.operators.baselines import add_baselines
 from shelfline.operators.dashboard import dashboard_dataset
 from shelfline.operators.features import feature_view
-from shelfline.operators.inventory import inventory_metrics, inventory_policy_table
+from shelfline.operators.inventory import inventory_metrics, inventory_policy
 from shelfline.operators.mart import daily_sales_mart, prepare_transactions
 from shelfline.operators.segments import abc_xyz_segments
 from shelfline.operators.validation import train_holdout_split
@@ -48,5 +48,5 @@ def dashboard_from_mart(mart: DataFrame, forecast: DataFrame) -> DataFrame:
     Both inputs are read several times: hand over stored tables.
     """
     segments = abc_xyz_segments(mart)
-    policy = inventory_policy_table(forecast, require_rows=False)
+    policy = inventory_policy(forecast, require_rows=False)
     return dashboard_dataset(forecast, segments, policy, require_rows=False)

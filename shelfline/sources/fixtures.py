@@ -10,14 +10,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out when there are fewer files than cores; a cluster-sized table has more."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def _invoice_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _spread(table(spark, folder, "lineitem"), "l_orderkey")
+    lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     buyers = table(spark, folder, "customer")
     nations = table(spark, folder, "nation")
@@ -39,7 +33,7 @@ def _typed(lines: DataFrame, *extra: str) -> DataFrame:
     return lines.select(
         F.concat(F.when(returned, "C").otherwise(""), order.cast("string")).alias("invoice"),
         code.alias("stock_code"),
-        F.concat(F.lit("  "), "p_type", F.lit(" ")).alias("description"),
+        F.when(part % 3 != 0, F.concat(F.lit("  "), "p_type", F.lit(" "))).alias("description"),
         F.when(returned, -quantity).otherwise(quantity).alias("quantity"),
         F.when(order % 1009 != 0, F.col("l_shipdate").cast("timestamp")).alias("invoice_date"),
         F.when(part % 97 == 0, None).when(part % 89 == 0, 0.0).otherwise(cents).alias("unit_price"),
@@ -70,14 +64,21 @@ RAW_HEADERS = [
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """All-text invoice rows under raw headers, with junk values and repeated rows."""
     rows = _typed(_invoice_lines(spark, folder), "l_orderkey", "l_partkey")
+    order, part = F.col("l_orderkey"), F.col("l_partkey")
     junk = rows.withColumns(
         {
-            "invoice_date": F.when(F.col("l_orderkey") % 1013 == 0, "not a date").otherwise(
-                F.date_format("invoice_date", "yyyy-MM-dd HH:mm:ss")
-            ),
-            "unit_price": F.when(F.col("l_partkey") % 101 == 0, "abc").otherwise(
-                F.col("unit_price").cast("string")
-            ),
+            "invoice_date": F.when(order % 1013 == 0, "not a date")
+            .when(order % 101 == 0, "8:26")
+            .when(order % 103 == 0, F.date_format("invoice_date", "M/d/yyyy H:mm:ss"))
+            .when(order % 107 == 0, F.date_format("invoice_date", "M/d/yy H:mm"))
+            .when(order % 109 == 0, F.date_format("invoice_date", "M-d-yyyy H:mm"))
+            .when(order % 113 == 0, F.date_format("invoice_date", "d MMM yyyy"))
+            .when(order % 127 == 0, F.date_format("invoice_date", "yyyyMMdd"))
+            .otherwise(F.date_format("invoice_date", "yyyy-MM-dd HH:mm:ss")),
+            "unit_price": F.when(part % 101 == 0, "abc")
+            .when(part % 103 == 0, "0x1p3")
+            .when(part % 107 == 0, "12d")
+            .otherwise(F.col("unit_price").cast("string")),
             "quantity": F.col("quantity").cast("string"),
         }
     )

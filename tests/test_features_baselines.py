@@ -119,8 +119,8 @@ def test_generic_helpers(sales):
     assert got.columns[-2:] == ["lag_2", "rolling_mean_4"]
 
 
-@pytest.mark.parametrize("hot_rows", [5, 16, 33])
-def test_split_groups_equal_whole_groups(spark, hot_rows):
+@pytest.mark.parametrize("run_rows", [5, 16, 33])
+def test_split_groups_equal_whole_groups(spark, run_rows):
     """One group holds most rows, many of them on one date; splitting must not show."""
     data = [(day(i % 40), "hot", float((i * 37) % 101)) for i in range(300)]
     data += [(day(7), "hot", float(i % 5)) for i in range(60)]
@@ -128,10 +128,10 @@ def test_split_groups_equal_whole_groups(spark, hot_rows):
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "date date, g string, v double, id int")
 
     def run(limit):
-        out = X.add_lag_rolling_features(df, ["g"], "v", lags=(1, 4), windows=(3, 5), hot_rows=limit)
+        out = X.add_lag_rolling_features(df, ["g"], "v", lags=(1, 4), windows=(3, 5), run_rows=limit)
         return by_key(out, "id")
 
-    whole, split = run(10_000), run(hot_rows)
+    whole, split = run(10_000), run(run_rows)
     assert len(split) == len(data)
     for key, row in whole.items():
         assert split[key] == pytest.approx(row)
