@@ -10,6 +10,7 @@ from shelfline.operators.features import past, series_window
 from shelfline.operators.ordered import RUN_ROWS, with_frames
 from shelfline.schema import DATE, SERIES_KEYS, TARGET, require_columns
 
+# Names of the baselines.
 BASELINES = [
     "naive_last_value",
     "seasonal_naive_7",

@@ -19,6 +19,7 @@ from shelfline.schema import (
     require_columns,
 )
 
+# Column names of the three inputs.
 FORECAST_COLUMNS = [DATE, *SERIES_KEYS, "actual_sales", "forecast_sales"]
 SEGMENT_COLUMNS = [*SERIES_KEYS, "abc_segment", "xyz_segment", "abc_xyz_segment"]
 STOCK_COLUMNS = [

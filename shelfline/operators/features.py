@@ -14,6 +14,7 @@ from shelfline.functions.columns import monday_calendar
 from shelfline.operators.ordered import RUN_ROWS, with_frames
 from shelfline.schema import DATE, SERIES_KEYS, TARGET, require_columns
 
+# Column names.
 FEATURE_INPUTS = [DATE, *SERIES_KEYS, TARGET, "avg_unit_price", "invoices_cnt", "customers_cnt"]
 
 

@@ -22,6 +22,7 @@ from shelfline.functions.stock import (
 )
 from shelfline.schema import DATE, FORECAST, SERIES_KEYS, TARGET, require_columns
 
+# Column names and their order.
 METRIC_COLUMNS = [
     *SERIES_KEYS,
     "avg_daily_demand",
@@ -34,6 +35,7 @@ METRIC_COLUMNS = [
     "suggested_safety_stock",
 ]
 
+# Column names and their order.
 POLICY_COLUMNS = [
     *SERIES_KEYS,
     "observed_days",

@@ -49,28 +49,33 @@ def with_mart_keys(fact: DataFrame) -> DataFrame:
     return fact.where(present)
 
 
-def _mart_parts(keyed: DataFrame) -> DataFrame:
-    """Each fact row three times: with its invoice and all it adds up to, with its customer, and
-    with its description, as `kind` and `text`."""
+def _added() -> dict[str, Column]:
+    """What a fact row adds to its mart row."""
     returned, quantity, price = F.col("is_return_flag"), F.col("quantity"), F.col("unit_price")
-    added = {
+    valid = ~F.col("is_price_invalid")
+    return {
         "sales_qty": F.when(returned, 0.0).otherwise(quantity),
         "returns_qty": F.when(returned, quantity).otherwise(0.0),
         "net_sales_qty": quantity,
         "revenue": F.col("revenue"),
-        "price_sum": F.when(~F.col("is_price_invalid"), price),
-        "price_rows": F.when(~F.col("is_price_invalid") & price.isNotNull(), 1).otherwise(0),
+        "price_sum": F.when(valid, price),
+        "price_rows": F.when(valid & price.isNotNull(), 1).otherwise(0),
         "is_return_flag": returned,
         "is_price_missing": F.col("is_price_missing"),
     }
-    kinds = {"invoice": added, "customer_id": {}, "description": {}}
+
+
+def _mart_parts(keyed: DataFrame) -> DataFrame:
+    """Each fact row three times: with its invoice and all it adds up to, with its customer, and
+    with its description, as `kind` and `text`."""
+    kinds = {"invoice": _added(), "customer_id": {}, "description": {}}
     parts = [
         F.struct(
             F.lit(kind).alias("kind"),
             F.col(kind).alias("text"),
             *(
-                values.get(name, F.lit(None)).cast(_PART_TYPES[name]).alias(name)
-                for name in _PART_TYPES
+                values.get(name, F.lit(None)).cast(type_name).alias(name)
+                for name, type_name in _PART_TYPES.items()
             ),
         )
         for kind, values in kinds.items()
@@ -97,6 +102,23 @@ def _totals() -> list[Column]:
     ]
 
 
+def _finished(daily: DataFrame) -> DataFrame:
+    dated = daily.withColumns(
+        {
+            "returns_qty": F.abs("returns_qty"),
+            "avg_unit_price": F.try_divide(F.col("price_sum"), F.col("price_rows")),
+            **sunday_calendar(F.col("sales_date")),
+        }
+    )
+    return dated.select(*(c for c in MART_SCHEMA.fieldNames() if c in dated.columns))
+
+
+def daily_sums(fact: DataFrame) -> DataFrame:
+    """The mart without description and distinct counts: one hash aggregation, one exchange."""
+    rows = with_mart_keys(fact).select(*MART_KEYS, *(c.alias(n) for n, c in _added().items()))
+    return _finished(rows.groupBy(*MART_KEYS).agg(*_totals()))
+
+
 def daily_sales_mart(fact: DataFrame) -> DataFrame:
     """One row per sales_date x stock_code x market_id; any description, the smallest, stands.
 
@@ -112,14 +134,7 @@ def daily_sales_mart(fact: DataFrame) -> DataFrame:
         F.count(F.when(F.col("kind") == "customer_id", F.col("text"))).alias("customers_cnt"),
         F.min(F.when(F.col("kind") == "description", F.col("text"))).alias("description"),
     )
-    dated = daily.withColumns(
-        {
-            "returns_qty": F.abs("returns_qty"),
-            "avg_unit_price": F.try_divide(F.col("price_sum"), F.col("price_rows")),
-            **sunday_calendar(F.col("sales_date")),
-        }
-    )
-    return dated.select(*MART_SCHEMA.fieldNames())
+    return _finished(daily)
 
 
 def dim_date(fact: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ TRANSACTION_COLUMNS = [
     "country",
 ]
 
+# Fixed values.
 TRANSACTION_ALIASES = {
     "invoice": "invoice",
     "invoiceno": "invoice",
@@ -38,6 +39,7 @@ TRANSACTION_ALIASES = {
     "country": "country",
 }
 
+# Fixed values.
 DASHBOARD_ALIASES = {
     "date": "sales_date",
     "actual": "actual_sales",
@@ -55,6 +57,7 @@ DASHBOARD_ALIASES = {
     "safety_stock": "suggested_safety_stock",
 }
 
+# Fixed values.
 DASHBOARD_COLUMNS = [
     "sales_date",
     "stock_code",
@@ -79,34 +82,47 @@ DASHBOARD_COLUMNS = [
 ]
 
 
-_TYPES = {
-    "string": T.StringType(),
-    "double": T.DoubleType(),
-    "bigint": T.LongType(),
-    "int": T.IntegerType(),
-    "date": T.DateType(),
-    "timestamp": T.TimestampType(),
-    "boolean": T.BooleanType(),
-}
-
-
-def _fields(spec: str) -> T.StructType:
-    pairs = (field.split() for field in spec.split(","))
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
-
-
-FACT_SCHEMA = _fields(
-    "invoice string, stock_code string, description string, quantity double, "
-    "invoice_date timestamp, sales_date date, unit_price double, customer_id string, "
-    "country string, market_id string, is_return_flag boolean, is_price_missing boolean, "
-    "is_price_invalid boolean, revenue double"
+# The fact table's columns and types.
+FACT_SCHEMA = T.StructType(
+    [
+        T.StructField("invoice", T.StringType()),
+        T.StructField("stock_code", T.StringType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("quantity", T.DoubleType()),
+        T.StructField("invoice_date", T.TimestampType()),
+        T.StructField("sales_date", T.DateType()),
+        T.StructField("unit_price", T.DoubleType()),
+        T.StructField("customer_id", T.StringType()),
+        T.StructField("country", T.StringType()),
+        T.StructField("market_id", T.StringType()),
+        T.StructField("is_return_flag", T.BooleanType()),
+        T.StructField("is_price_missing", T.BooleanType()),
+        T.StructField("is_price_invalid", T.BooleanType()),
+        T.StructField("revenue", T.DoubleType()),
+    ]
 )
 
-MART_SCHEMA = _fields(
-    "sales_date date, stock_code string, description string, market_id string, "
-    "sales_qty double, avg_unit_price double, revenue double, invoices_cnt bigint, "
-    "customers_cnt bigint, returns_qty double, net_sales_qty double, weekday int, month int, "
-    "year int, is_weekend boolean, is_return_flag boolean, is_price_missing boolean"
+# The mart's columns and types.
+MART_SCHEMA = T.StructType(
+    [
+        T.StructField("sales_date", T.DateType()),
+        T.StructField("stock_code", T.StringType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("market_id", T.StringType()),
+        T.StructField("sales_qty", T.DoubleType()),
+        T.StructField("avg_unit_price", T.DoubleType()),
+        T.StructField("revenue", T.DoubleType()),
+        T.StructField("invoices_cnt", T.LongType()),
+        T.StructField("customers_cnt", T.LongType()),
+        T.StructField("returns_qty", T.DoubleType()),
+        T.StructField("net_sales_qty", T.DoubleType()),
+        T.StructField("weekday", T.IntegerType()),
+        T.StructField("month", T.IntegerType()),
+        T.StructField("year", T.IntegerType()),
+        T.StructField("is_weekend", T.BooleanType()),
+        T.StructField("is_return_flag", T.BooleanType()),
+        T.StructField("is_price_missing", T.BooleanType()),
+    ]
 )
 
 

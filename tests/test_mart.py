@@ -2,6 +2,9 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
+from shelfline.functions.columns import moment, number
 from shelfline.operators import mart as M
 from tests.conftest import by_key, rows
 
@@ -81,8 +84,34 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_unread_columns_cost_nothing(spark):
-    mart = M.daily_sales_mart(facts(spark, ("1", "A", "a", 1.0, NOON, 1.0, "c", "UK")))
-    sums = plan_of(mart.drop("description", "invoices_cnt", "customers_cnt"))
-    assert "Join" not in sums and sums.count("Exchange") == 1
-    assert "SortAggregate" not in plan_of(mart.drop("description"))
+def test_plans_of_mart_and_sums(spark):
+    df = facts(spark, ("1", "A", "a", 1.0, NOON, 1.0, "c", "UK"))
+    mart, sums = plan_of(M.daily_sales_mart(df)), plan_of(M.daily_sums(df))
+    assert "Join" not in mart and mart.count("Exchange") == 2 and mart.count("Scan") == 1
+    assert "Sort" not in mart[mart.rindex("Exchange"):]
+    assert sums.count("Exchange") == 1 and "Sort" not in sums
+
+
+def test_sums_are_the_marts(spark):
+    df = facts(
+        spark,
+        ("1", "A", "b", 2.0, NOON, 3.0, "c", "UK"),
+        ("1", "A", "a", 1.0, NOON, None, "d", "UK"),
+        ("C2", "A", None, -1.0, NOON, 3.0, None, "UK"),
+    )
+    mart, sums = M.daily_sales_mart(df), M.daily_sums(df)
+    assert rows(mart.select(*sums.columns)) == rows(sums)
+    whole = rows(mart)[0]
+    assert (whole["description"], whole["invoices_cnt"], whole["customers_cnt"]) == ("a", 2, 2)
+
+
+def test_date_and_number_spellings(spark):
+    texts = ["12/1/2010 8:26:00", "12/1/10 8:26", "12-01-2010 08:26", "1 Dec 2010", "20101201", "2010-12-01T08:26:00",
+             "13/13/2010", "8:26", "12/1/97", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [str(r["d"])[:10] for r in df.select(F.to_date(moment(df, "t")).alias("d")).collect()]
+    assert got == ["2010-12-01"] * 6 + ["None", "None", "1997-12-01", "None", "None"]
+    numbers = ["0x1p3", "12d", "12f", " 1.5 ", "-.5e2", "1,5", "NaN", "7.", "1e400", None]
+    df = spark.createDataFrame([(t,) for t in numbers], "t string")
+    got = [r["v"] for r in df.select(number(df, "t").alias("v")).collect()]
+    assert got == [None, None, None, 1.5, -50.0, None, None, 7.0, float("inf"), None]

@@ -15,10 +15,10 @@ SCHEMA = (
 @pytest.fixture(scope="module")
 def features(spark):
     data = [
-        (day(i), code, market, float(i + shift), 10.0 + i % 3, float(i + shift - 7) if i >= 7 else None,
-         None, i % 7, i % 5 == 0, 1.0, "x")
-        for code, market, shift in (("A", "UK", 0), ("B", "FR", 10))
-        for i in range(50)
+        (day(n), product, market, 4.0 + level * (n % 6), 2.5 + 0.25 * (n % 4),
+         4.0 + level * ((n - 7) % 6) if n >= 7 else None, None, n % 7, n % 9 == 0, 1.0, "lamp")
+        for product, market, level in (("lamp-1", "NO", 1.5), ("desk-2", "SE", 3.0))
+        for n in range(64)
     ]
     return spark.createDataFrame(data, SCHEMA)
 
@@ -31,9 +31,9 @@ def test_feature_columns(features):
 
 def test_prepare(features):
     train, test, names = L.prepare_train_test(features, holdout_days=10)
-    assert train.count() == 80 and test.count() == 20 and "lag_7" in names
-    gaps = features.withColumn("net_sales_qty", F.when(F.col("stock_code") == "A", F.col("net_sales_qty")))
-    assert L.prepare_train_test(gaps, holdout_days=10)[0].count() == 40
+    assert train.count() == 108 and test.count() == 20 and "lag_7" in names
+    gaps = features.withColumn("net_sales_qty", F.when(F.col("stock_code") == "desk-2", F.col("net_sales_qty")))
+    assert L.prepare_train_test(gaps, holdout_days=10)[0].count() == 54
     with pytest.raises(ValueError, match="market_id"):
         L.prepare_train_test(features.drop("market_id"))
 

@@ -10,8 +10,8 @@ SCHEMA = (
     "invoice_date string, unit_price string, customer_id string, country string"
 )
 GOOD = [
-    ("10001", "A1", "mug", "2", "2011-01-01 10:00:00", "10.0", "1", "United Kingdom"),
-    ("10002", "B2", "cup", "3", "2011-01-02 11:00:00", "20.0", "2", "France"),
+    ("77120", "L-14", "oak lamp", "6", "2023-05-04 16:45:30", "7.25", "904", "Norway"),
+    ("77121", "D-02", "side desk", "1", "2023-05-06 08:05:00", "149.0", "377", "Chile"),
 ]
 
 
