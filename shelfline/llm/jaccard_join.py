@@ -384,11 +384,12 @@ def left_pairs(
     named = prefix.join(
         roots.select(F.col("node").alias("mark"), "root"), "mark", "left"
     ).withColumn("root", F.coalesce("root", "mark"))
+    named = hand_over(named, "named")
     hub_roots = hubs.select("ngram", F.col("hub.mark").alias("mark")).join(
         roots.select(F.col("node").alias("mark"), F.col("root").alias("_root")), "mark", "left"
     )
     hub_roots = hub_roots.select("ngram", F.coalesce("_root", "mark").alias("hub_root"))
-    seeking = named.join(hub_roots, "ngram").where("root != hub_root")
+    seeking = hand_over(named.join(hub_roots, "ngram").where("root != hub_root"), "seeking")
     x, y = seeking.alias("x"), named.alias("y")
     return (
         x.join(
@@ -443,7 +444,8 @@ def near_duplicates(
         F.min(F.struct("own", "mark", "size", "reach")).alias("hub"),
         F.count(F.lit(1)).alias("members"),
     )
-    hubs = hubs.where("members > 1").drop("members")
+    # Stored, so that joins with common n-grams read plain exchanges, which Spark splits.
+    hubs = hand_over(hubs.where("members > 1").drop("members"), "hubs")
     tried = hand_over(hub_pairs(prefix, hubs, percent), "hub-pairs")
     first = hand_over(linked(tried, sets, percent), "hub-links")
     rest = left_pairs(prefix, hubs, connected_components(first), percent).join(
