@@ -861,7 +861,8 @@ oracle(
     _F,
     doubles="actual_sales forecast_sales forecast_error abs_forecast_error",
 )
-oracle("dashboard_dataset", "SELECT * FROM dashboard", "dashboard", doubles=DASHBOARD_DOUBLES)
+for _name in ("dashboard_dataset", "published_dashboard"):
+    oracle(_name, "SELECT * FROM dashboard", "dashboard", doubles=DASHBOARD_DOUBLES)
 oracle(
     "dashboard_by_source",
     dashboard_sql("model_source"),

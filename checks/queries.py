@@ -21,7 +21,7 @@ from shelfline.operators import quality as Q
 from shelfline.operators import reports as R
 from shelfline.operators import segments as G
 from shelfline.operators import validation as V
-from shelfline.plans.stages import baseline_forecast, dashboard_from_mart, sql_stages
+from shelfline.plans.stages import baseline_forecast, dashboard_from_mart, publish, sql_stages
 from shelfline.schema import (
     DATE,
     FACT_SCHEMA,
@@ -705,6 +705,15 @@ def dashboard_dataset(spark, folder):
     return dashboard(spark, folder)
 
 
+@query
+def published_dashboard(spark, folder):
+    """The dashboard as a run writes it, read again."""
+    rows = sales_table(spark, folder)
+    late = hand_over(baseline_forecast(rows, holdout_days=YEAR), "forecast")
+    paths = publish(rows, late, scratch_path(spark, "published"))
+    return spark.read.parquet(next(path for path in paths if path.endswith("/dashboard.parquet")))
+
+
 @query
 def dashboard_by_source(spark, folder):
     """The dashboard with its stock columns taken from the table of all sources."""

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
 from shelfline.operators.baselines import add_baselines
-from shelfline.operators.dashboard import dashboard_dataset
+from shelfline.operators.dashboard import dashboard_dataset, dashboard_order
 from shelfline.operators.features import feature_view
-from shelfline.operators.inventory import inventory_metrics, inventory_policy
+from shelfline.operators.inventory import (
+    inventory_metrics,
+    inventory_policy,
+    inventory_policy_table,
+)
 from shelfline.operators.mart import daily_sales_mart, prepare_transactions
 from shelfline.operators.segments import abc_xyz_segments
 from shelfline.operators.validation import train_holdout_split
 from shelfline.schema import DATE, FORECAST, SERIES_KEYS, TARGET
 from shelfline.session import hand_over
-from shelfline.sources.io import register_views
+from shelfline.sources.io import forecast_columns, register_views, write_reports
 
 
 def baseline_forecast(
@@ -50,3 +56,30 @@ def dashboard_from_mart(mart: DataFrame, forecast: DataFrame) -> DataFrame:
     segments = abc_xyz_segments(mart)
     policy = inventory_policy(forecast, require_rows=False)
     return dashboard_dataset(forecast, segments, policy, require_rows=False)
+
+
+def publish(
+    mart: DataFrame,
+    forecast: DataFrame,
+    folder: str,
+    kind: str = "parquet",
+    run: Mapping[str, object] | None = None,
+) -> list[str]:
+    """Write what a run hands on: segments, the ordered policy and dashboard, the forecast, and of a
+    model run its metrics, comparison and importances.  Returns the paths.
+
+    The inputs are read several times: hand over stored tables.
+    """
+    segments = hand_over(abc_xyz_segments(mart), "segments")
+    policy = hand_over(inventory_policy(forecast, require_rows=False), "policy")
+    board = dashboard_dataset(forecast, segments, policy, require_rows=False)
+    reports = {
+        "segments": segments,
+        "inventory_policy": inventory_policy_table(forecast, require_rows=False),
+        "dashboard": dashboard_order(board),
+        "forecast": forecast_columns(forecast),
+    }
+    parts = {"metrics": "model_metrics", "comparison": "model_comparison",
+             "feature_importance": "feature_importance"}
+    reports |= {name: run[part] for part, name in parts.items()} if run else {}
+    return write_reports(reports, folder, kind)
