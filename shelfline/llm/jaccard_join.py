@@ -428,7 +428,8 @@ def near_duplicates(
 
     Documents link when their sets' Jaccard similarity is at least `percent`; a component's id is
     its smallest doc_id.  A NULL or wordless text has no n-grams and is linked with nothing, not
-    even with its like.  Repeated rows are in one class; an empty table stays empty; other columns
+    even with its like; rows without a doc_id are in the class of their set, but a class of only such
+    rows is compared with no other.  Repeated rows are in one class; an empty table stays empty; other columns
     are dropped.  Sets are told apart by 64-bit signatures and n-grams by 64-bit hashes.
     """
     fragments = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))

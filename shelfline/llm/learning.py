@@ -102,20 +102,31 @@ def labelled_sample(
         .toArrow()
         .sort_by("doc_id")
     )
-    ids = [np.frombuffer(x, "<u4") for x in found["ids"].to_pylist()]
-    values = [np.frombuffer(x, "<f4") for x in found["vals"].to_pylist()]
+    bounds, index = _joined(found["ids"], "<i4")
+    _, value = _joined(found["vals"], "<f4")
     y = np.array(found["label"].to_pylist(), dtype=float)
     seen = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([totals.get(int(c), 0) / seen[int(c)] for c in y])
     return Sample(
-        np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]),
-        np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int64),
-        np.concatenate([*values, np.zeros(0, "<f4")]).astype(float),
+        bounds,
+        index,
+        value,
         y,
         weight / weight.mean() if len(weight) else weight,
     )
 
 
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, numbers): the numbers of all rows one after the other, without another copy."""
+    rows = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    rows = rows.cast(pa.large_binary())
+    _, offsets, data = rows.buffers()
+    ends = np.frombuffer(offsets, np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    if not len(rows) or data is None:
+        return np.zeros(len(rows) + 1, np.int64), np.zeros(0, kind)
+    return (ends - ends[0]) // 4, np.frombuffer(data, kind)[ends[0] // 4 : ends[-1] // 4]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
