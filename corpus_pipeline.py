@@ -10,6 +10,10 @@ from shelfline.llm import decontaminate, jaccard_join, packing, quality_rules, s
 from shelfline.llm.tables import small_batches, table
 from shelfline.session import hand_over
 
+# Near duplicates share 0.8 of their five-word n-grams; op6 has its own contract.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the classifier trained on the labels."""
@@ -19,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies."""
-    return jaccard_join.keep_one_each(docs)
+    return jaccard_join.keep_one_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

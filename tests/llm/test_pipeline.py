@@ -55,3 +55,15 @@ def test_stages(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     done = corpus_pipeline.run(spark, folder)
     assert "sequence_id" in done.columns and 90 < done.count() < 110
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    """A pair of 0.811 at five words, which has less than 0.85 at four."""
+    words = [f"w{n}" for n in range(100)]
+    other = ["new" if n in (30, 60) else w for n, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, prose(1, 100))]
+    assert len(plain_components(rows)) == 3 and {c for _, _, c in plain_components(rows)} == {1, 2, 3}
+    expected = {d for d, _, c in plain_components(rows, 5, 80) if d == c}
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == expected == {1, 3}
