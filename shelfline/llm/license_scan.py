@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.license_texts import PHRASES, TEMPLATES
@@ -32,6 +32,7 @@ GRAM = 3
 MOST_RUNS = 100_000  # of all templates together; their runs go to every task
 DRIFT = 8  # diagonals of one match lie this close together
 LEAST_SHARE = 0.6  # of a template's runs
+PARTS = 1 << 20  # of the places that a stretch may cover
 
 Templates = Mapping[str, Sequence[str]]
 
@@ -130,35 +131,42 @@ def word_hits(documents: DataFrame, known: np.ndarray, phrases: Mapping[str, str
     )
 
 
+def most_places(runs: Column) -> Column:
+    """How far apart a stretch's first and last place may be: not much more than the template."""
+    return F.floor(1.5 * runs + DRIFT)
+
+
 def vote(hits: DataFrame, runs: DataFrame, drift: int = DRIFT) -> DataFrame:
-    """(doc_id, row_key, label, template, first, last, share) of every merged stretch.
+    """(doc_id, row_key, label, template, runs, first, last, seen, share) of the merged stretches.
 
-    `hits` has (doc_id, row_key, run, place).  Diagonals in order of their number, then places,
-    form one stretch as long as the next is at most `drift` away.
+    `hits` has (doc_id, row_key, run, place).  Diagonals in order of their number form one stretch
+    as long as the next is at most `drift` away.  One that is longer than a match can be, as of
+    notices that follow each other, is cut anew from each of its places on, so that none is missed.
     """
     row = ["doc_id", "row_key", "label", "template", "runs"]
     # The templates' runs are bounded by MOST_RUNS, whatever the texts.
     votes = hits.join(F.broadcast(runs), "run").withColumn(
         "diagonal", F.col("place") - F.col("at")
     )
-    diagonals = votes.groupBy(*row, "diagonal").agg(
-        F.min("place").alias("first"),
-        F.max("place").alias("last"),
-        F.collect_set("at").alias("seen"),
-    )
-    order = Window.partitionBy(*row).orderBy("diagonal")
+    order = Window.partitionBy(*row).orderBy("diagonal", "place")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > drift
     stretch = F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order)
+    limit = most_places(F.col("runs"))
+    whole = Window.partitionBy(*row, "stretch")
+    # Places in parts of the limit, which differs by template; exact below half of PARTS.
+    scaled = F.floor(F.col("place") * PARTS / limit).cast("bigint")
+    near = whole.orderBy("scaled").rangeBetween(0, PARTS + 1)
+    first, last = F.min("place").over(whole), F.max("place").over(whole)
     return (
-        diagonals.withColumn("stretch", stretch)
-        .groupBy(*row, "stretch")
-        .agg(
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"),
-        )
-        .withColumn("share", F.col("seen") / F.col("runs"))
-        .drop("stretch")
+        votes.withColumn("stretch", stretch)
+        .withColumn("scaled", scaled)
+        .withColumn("begins", (F.col("place") == first) | (last - first > limit))
+        .withColumn("first", F.col("place"))
+        .withColumn("last", F.max("place").over(near))
+        .withColumn("seen", F.size(F.collect_set("at").over(near)))
+        .where("begins")
+        .select(*row, "first", "last", "seen", (F.col("seen") / F.col("runs")).alias("share"))
+        .distinct()
     )
 
 
@@ -185,7 +193,7 @@ def scan_licenses(
     # A verified stretch is not much longer than the template: votes far apart are chance.
     verified = spans.where(
         (F.col("share") >= least_share)
-        & (F.col("last") - F.col("first") <= 1.5 * F.col("runs") + DRIFT)
+        & (F.col("last") - F.col("first") <= most_places(F.col("runs")))
     )
     found = verified.groupBy(
         F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key")

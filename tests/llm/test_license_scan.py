@@ -63,5 +63,16 @@ def test_votes(spark):
     assert tuples(ls.vote(hits, runs), "first", "last", "seen") == [(10, 14, 4), (90, 91, 2)]
 
 
+def test_repeated_notices(spark):
+    """Notices one after the other are found however many there are."""
+    names = [(label, text) for label, texts in TEMPLATES.items() for text in texts]
+    rows = [(100 * n + times, (prose(n) + " ") * (times % 2) + (text + " ") * times)
+            for n, (_, text) in enumerate(names) for times in (1, 2, 3, 4, 7, 50)]
+    got = {r.doc_id: r for r in ls.scan_licenses(frame(spark, rows)).collect()}
+    for n, (label, _) in enumerate(names):
+        assert {got[i].score for i, _ in rows if i // 100 == n} == {1.0}
+        assert all(label in got[i].labels.split(",") for i, _ in rows if i // 100 == n)
+
+
 def test_empty(spark):
     assert ls.scan_licenses(empty(spark)).count() == 0
