@@ -1,7 +1,7 @@
 """URL filter: fixed rules first, then a path-template tree judged by labelled purity.
 
 Per host, the segments of its paths form a tree.  Digits become wildcards at once; below each
-node, rare children are then generalised to one wildcard each level.  Templates of the same form
+node, rare children without enough labels are then generalised to one wildcard.  Templates of the same form
 whose labelled rates do not differ significantly are merged, and a template is rejected when its
 smoothed share of bad pages reaches a limit.
 """
@@ -71,21 +71,30 @@ def path_shape(path: Column, depth: int) -> Column:
     ).otherwise(parts)
 
 
-def template_tree(shapes: DataFrame, depth: int, share: float, least: int) -> DataFrame:
-    """Add `template` to (host, shape, pages, ...): level by level, a child stays itself if it has
-    `least` pages and the `share` of its node's pages, and otherwise joins the node's wildcard.
+def template_tree(
+    shapes: DataFrame, depth: int, share: float, least: int, least_labels: int
+) -> DataFrame:
+    """Add `template` to (host, shape, pages, labelled, ...): level by level, a child with `least`
+    pages stays itself if it has the `share` of its node's pages or `least_labels` labels, which is
+    evidence that does not shrink with the host; otherwise it joins the node's wildcard.
 
-    A node keeps at most 1 / share children, so a host's tree is bounded by the depth."""
+    A node keeps at most 1 / share children without enough labels."""
     level = shapes.withColumn("template", F.array().cast("array<string>"))
     for at in range(depth):
         part = F.get(F.col("shape"), F.lit(at))
         node = ["host", "template"]
         seen = level.withColumn("_part", part).where(F.col("_part").isNotNull())
-        children = seen.groupBy(*node, "_part").agg(F.sum("pages").alias("_pages"))
+        children = seen.groupBy(*node, "_part").agg(
+            F.sum("pages").alias("_pages"), F.sum("labelled").alias("_labelled")
+        )
         total = F.sum("_pages").over(Window.partitionBy(*node))
         # Only kept children leave this step; the others need no row of their own.
         kept = children.withColumn("_total", total).where(
-            (F.col("_pages") >= least) & (F.col("_pages") >= share * F.col("_total"))
+            (F.col("_pages") >= least)
+            & (
+                (F.col("_pages") >= share * F.col("_total"))
+                | (F.col("_labelled") >= least_labels)
+            )
         )
         kept = kept.select(*node, "_part", F.lit(True).alias("_kept"))
         named = F.when(
@@ -162,6 +171,7 @@ def filter_urls(
     depth: int = 4,
     share: float = 0.05,
     least: int = 5,
+    least_labels: int = 5,
     weight: float = 10.0,
     z: float = 1.96,
     limit: float = 0.5,
@@ -193,7 +203,7 @@ def filter_urls(
             F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
         )
     )
-    tree = template_tree(hand_over(shapes, "url-shapes"), depth, share, least)
+    tree = template_tree(hand_over(shapes, "url-shapes"), depth, share, least, least_labels)
     judged = tree.select("host", "shape", "template").join(
         judge_templates(tree, weight, z), ["host", "template"]
     )

@@ -70,6 +70,19 @@ def test_rare_children_become_wildcards(spark):
     assert {r.template for r in got.collect()} == {"/u/*/home"}
 
 
+def test_many_equal_sections_are_judged_by_their_own_labels(spark):
+    """Each of 25 sections is below a twentieth of its host; one is bad, or all but one."""
+    kinds = "abcdefghijklmnopqrstuvwxy"
+    rows = [(n, f"http://a.org/s{kinds[n % 25]}/p{n}") for n in range(1500)]
+    rows += [(n + 2000, u.replace("a.org", "b.org")) for n, u in rows]
+    labels = [(n, int(n % 25 == 3)) for n in range(0, 1500, 2)]
+    labels += [(n + 2000, int(n % 25 != 3)) for n in range(0, 1500, 2)]
+    known = spark.createDataFrame(labels, NO_LABELS)
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages(spark, rows), known, rules=[]).collect()}
+    assert {n for n in range(1500) if got[n] == "block"} == set(range(3, 1500, 25))
+    assert {n for n in range(1500) if got[n + 2000] == "allow"} == set(range(3, 1500, 25))
+
+
 def test_empty_labels_and_page_labels(spark):
     none = pages(spark, [])
     assert urls.filter_urls(none, spark.createDataFrame([], NO_LABELS)).count() == 0
