@@ -17,7 +17,7 @@ from shelfline.llm.tables import columns
 from shelfline.session import hand_over
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DIGITS, WILD, REST = "#", "*", "**"
+DIGITS, WILD = "#", "*"
 
 
 @dataclass(frozen=True)
@@ -63,54 +63,68 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def path_shape(path: Column, depth: int) -> Column:
-    """Segments of the path, runs of digits as `#`; what lies deeper than `depth` is one `**`."""
-    parts = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", DIGITS), "/"), lambda s: s != "")
-    return F.when(
-        F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit(REST)))
-    ).otherwise(parts)
+def path_shape(path: Column) -> Column:
+    """Segments of the path, runs of digits as `#`."""
+    return F.filter(F.split(F.regexp_replace(path, r"[0-9]+", DIGITS), "/"), lambda s: s != "")
 
 
 def template_tree(
-    shapes: DataFrame, depth: int, share: float, least: int, least_labels: int
+    shapes: DataFrame, share: float, least: int, least_labels: int
 ) -> DataFrame:
     """Add `template` to (host, shape, pages, labelled, ...): level by level, a child with `least`
     pages stays itself if it has the `share` of its node's pages or `least_labels` labels, which is
     evidence that does not shrink with the host; otherwise it joins the node's wildcard.
 
-    A node keeps at most 1 / share children without enough labels."""
+    A node keeps at most 1 / share children without enough labels.  Levels follow until no shape
+    has a further segment.  What lies below a node of one shape or of fewer than `least` pages is
+    known at once: all children stay, or none does."""
     level = shapes.withColumn("template", F.array().cast("array<string>"))
-    for at in range(depth):
-        part = F.get(F.col("shape"), F.lit(at))
+    names, at = level.columns, 0
+    done, level = [level.where(F.size("shape") == 0)], level.where(F.size("shape") > 0)
+    while True:
         node = ["host", "template"]
-        seen = level.withColumn("_part", part).where(F.col("_part").isNotNull())
-        children = seen.groupBy(*node, "_part").agg(
-            F.sum("pages").alias("_pages"), F.sum("labelled").alias("_labelled")
+        nodes = level.groupBy(*node).agg(
+            F.sum("pages").alias("_total"), F.count(F.lit(1)).alias("_shapes")
+        )
+        level = level.join(hand_over(nodes, "url-nodes"), node)
+        left = F.slice("shape", at + 1, F.size("shape"))
+        wild = F.transform(left, lambda s: F.when(s == DIGITS, s).otherwise(F.lit(WILD)))
+        rest = F.when(F.col("_total") < least, wild).when(F.col("_shapes") == 1, left)
+        level = hand_over(level.withColumn("_rest", rest), "url-level")
+        over = level.where(F.col("_rest").isNotNull())
+        done.append(over.withColumn("template", F.concat("template", "_rest")).select(*names))
+        level = level.where(F.col("_rest").isNull())
+        if level.isEmpty():
+            break
+        level = level.withColumn("_part", F.get(F.col("shape"), F.lit(at)))
+        children = level.groupBy(*node, "_part").agg(
+            F.sum("pages").alias("_pages"),
+            F.sum("labelled").alias("_labelled"),
+            F.first("_total").alias("_total"),
         )
-        total = F.sum("_pages").over(Window.partitionBy(*node))
         # Only kept children leave this step; the others need no row of their own.
-        kept = children.withColumn("_total", total).where(
+        kept = children.where(
             (F.col("_pages") >= least)
             & (
                 (F.col("_pages") >= share * F.col("_total"))
                 | (F.col("_labelled") >= least_labels)
             )
+        ).select(*node, "_part", F.lit(True).alias("_kept"))
+        named = F.when(F.col("_kept") | (F.col("_part") == DIGITS), F.col("_part"))
+        level = (
+            level.join(kept, [*node, "_part"], "left")
+            .withColumn("template", F.concat("template", F.array(named.otherwise(F.lit(WILD)))))
+            .select(*names)
         )
-        kept = kept.select(*node, "_part", F.lit(True).alias("_kept"))
-        named = F.when(
-            F.col("_kept") | F.col("_part").isin(DIGITS, REST), F.col("_part")
-        ).otherwise(F.lit(WILD))
-        grown = F.when(F.col("_part").isNull(), F.col("template")).otherwise(
-            F.concat("template", F.array(named))
-        )
-        level = hand_over(
-            level.withColumn("_part", part)
-            .join(kept, [*node, "_part"], "left")
-            .withColumn("template", grown)
-            .drop("_part", "_kept"),
-            "url-level",
-        )
-    return level
+        # What ends here is no page of the next level's nodes.
+        ending = F.size("shape") <= at + 1
+        level = hand_over(level, "url-grown")
+        done.append(level.where(ending))
+        level, at = level.where(~ending), at + 1
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def judge_templates(leaves: DataFrame, weight: float, z: float) -> DataFrame:
@@ -132,7 +146,7 @@ def judge_templates(leaves: DataFrame, weight: float, z: float) -> DataFrame:
         ).alias("host_rate"),
     )
     form = F.transform(
-        "template", lambda s: F.when(s.isin(DIGITS, WILD, REST), s).otherwise(F.lit("+"))
+        "template", lambda s: F.when(s.isin(DIGITS, WILD), s).otherwise(F.lit("+"))
     )
     order = Window.partitionBy("host", "form").orderBy("rate", "template")
     pooled = (F.col("bad") + F.lag("bad").over(order) + weight * F.col("host_rate")) / (
@@ -168,7 +182,6 @@ def filter_urls(
     labels: DataFrame,
     key: str = "page_id",
     rules: list[Rule] = RULES,
-    depth: int = 4,
     share: float = 0.05,
     least: int = 5,
     least_labels: int = 5,
@@ -187,7 +200,7 @@ def filter_urls(
     pages = columns(urls, [key, "url"]).select(
         F.col(key), host.alias("host"), path.alias("path")
     )
-    pages = pages.withColumn("shape", path_shape(F.col("path"), depth))
+    pages = pages.withColumn("shape", path_shape(F.col("path")))
     known = (
         columns(labels, [key, "bad"])
         .dropna()
@@ -203,7 +216,7 @@ def filter_urls(
             F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
         )
     )
-    tree = template_tree(hand_over(shapes, "url-shapes"), depth, share, least, least_labels)
+    tree = template_tree(hand_over(shapes, "url-shapes"), share, least, least_labels)
     judged = tree.select("host", "shape", "template").join(
         judge_templates(tree, weight, z), ["host", "template"]
     )

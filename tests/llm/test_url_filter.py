@@ -83,6 +83,16 @@ def test_many_equal_sections_are_judged_by_their_own_labels(spark):
     assert {n for n in range(1500) if got[n + 2000] == "allow"} == set(range(3, 1500, 25))
 
 
+def test_deep_branches_are_judged_by_themselves(spark):
+    deep = "/".join("abcdefgh")
+    rows = [(n, f"http://a.org/{deep}/{'casino' if n % 2 else 'recipes'}/{n}") for n in range(80)]
+    rows += [(90, "http://a.org/" + deep), (91, "http://b.org/x/y1/z/q/r/s")]
+    known = spark.createDataFrame([(n, n % 2) for n in range(60)], NO_LABELS)
+    got = {r.page_id: r for r in urls.filter_urls(pages(spark, rows), known, rules=[]).collect()}
+    assert {n for n in range(80) if got[n].verdict == "block"} == set(range(1, 80, 2))
+    assert got[1].template == f"/{deep}/casino/#" and got[91].template == "/*/*/*/*/*/*"
+
+
 def test_empty_labels_and_page_labels(spark):
     none = pages(spark, [])
     assert urls.filter_urls(none, spark.createDataFrame([], NO_LABELS)).count() == 0
