@@ -100,8 +100,60 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 FROM placed
 """
 
+CONVERSATION_TRIE = """
+WITH RECURSIVE bits AS (
+  SELECT b, 0 AS k, b::BIGINT AS v FROM range(256) t(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END
+  FROM bits WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+turns AS (
+  SELECT conv_id, turn, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(said ORDER BY turn NULLS FIRST, said) AS w,
+         hex(encode(conv_id::VARCHAR)) AS h
+  FROM turns GROUP BY conv_id
+), headed AS (
+  SELECT conv_id, w, xor(list_reduce(
+           list_concat([4294967295::BIGINT],
+             [('0x' || substr(h, i, 2))::BIGINT FOR i IN range(1, length(h), 2)]),
+           lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 AS n
+  FROM own, crc_table
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(s.w, [])[1:c.n], c.w[c.n + 1:]) AS w
+  FROM headed c LEFT JOIN headed s ON s.conv_id = c.conv_id - c.conv_id % 5
+), paths AS (
+  SELECT conv_id, w[1:d] AS k, d, len(w) = d AS ends
+  FROM (SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM rebuilt)
+), members AS (
+  SELECT k, d, min(conv_id) AS node, count(*) AS n_convs,
+         CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(k[d].text)) END AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), ''))
+           AS ends_sha256
+  FROM paths GROUP BY k, d
+), family AS (
+  SELECT m.*, p.node AS parent
+  FROM members m LEFT JOIN members p ON p.d = m.d - 1 AND p.k = m.k[1:m.d - 1]
+), children AS (
+  SELECT parent, d - 1 AS d, count(*) AS n FROM family WHERE d > 0 GROUP BY ALL
+), weighed AS (
+  SELECT f.*, coalesce(c.n, 0) AS n_children, (f.n_convs - 1) * f.bytes AS saved
+  FROM family f LEFT JOIN children c ON c.parent = f.node AND c.d = f.d
+), above AS (
+  SELECT p.conv_id, m.node, m.d FROM paths p JOIN members m ON m.d = p.d AND m.k = p.k
+), sums AS (
+  SELECT a.node, a.d, count(*) FILTER (w.n_children = 0) AS n_leaves, sum(w.saved) AS saved
+  FROM weighed w JOIN above a ON a.conv_id = w.node AND a.d <= w.d GROUP BY ALL
+)
+SELECT w.node AS conv_id, w.d::BIGINT AS depth, w.parent AS parent_conv_id, w.n_convs,
+       w.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM weighed w JOIN sums s ON s.node = w.node AND s.d = w.d
+"""
+
 ORACLES = {
     "op5_benchmark_decontamination": DECONTAMINATION,
     "op6_ngram_jaccard_join": JACCARD,
     "op8_sharding": SHARDING,
+    "op12_conversation_prefix_trie": CONVERSATION_TRIE,
 }

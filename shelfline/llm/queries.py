@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import (
+    conversation_trie,
     decontaminate,
     jaccard_join,
     license_scan,
@@ -74,6 +75,10 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, folder, "documents"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,4 +106,5 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": _sized(op8_sharding),
     "op9_toxicity": _sized(op9_toxicity),
     "op10_license_scans": _sized(op10_license_scans),
+    "op12_conversation_prefix_trie": _sized(op12_conversation_prefix_trie),
 }
