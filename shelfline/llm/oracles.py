@@ -100,6 +100,40 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 FROM placed
 """
 
+SEARCH = rf"""
+WITH postings AS (
+  SELECT number, doc_id, t, count(*) AS tf, any_value(n) AS n
+  FROM (
+    SELECT number, doc_id, len(w) AS n, unnest(w) AS t FROM (
+      SELECT row_number() OVER () AS number, doc_id,
+             regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents)
+  ) GROUP BY ALL
+), totals AS (
+  SELECT count(*) AS texts, sum(n)::BIGINT AS terms
+  FROM (SELECT number, any_value(n) AS n FROM postings GROUP BY number)
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, totals GROUP BY t, texts
+), asked AS (
+  SELECT item_id, t, count(*) AS repeats FROM (
+    SELECT item_id,
+           unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark) GROUP BY ALL
+), scored AS (
+  SELECT item_id, doc_id, number,
+         sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * texts) // terms))))
+           ::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN postings USING (t), totals
+  GROUP BY item_id, doc_id, number
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER
+           AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 CONVERSATION_TRIE = """
 WITH RECURSIVE bits AS (
   SELECT b, 0 AS k, b::BIGINT AS v FROM range(256) t(b)
@@ -155,5 +189,6 @@ ORACLES = {
     "op5_benchmark_decontamination": DECONTAMINATION,
     "op6_ngram_jaccard_join": JACCARD,
     "op8_sharding": SHARDING,
+    "op11_ranked_lexical_search": SEARCH,
     "op12_conversation_prefix_trie": CONVERSATION_TRIE,
 }

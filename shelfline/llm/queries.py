@@ -15,6 +15,7 @@ from shelfline.llm import (
     packing,
     quality_lm,
     quality_rules,
+    ranked_search,
     secret_scan,
     sharding,
     toxicity,
@@ -75,6 +76,12 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, folder, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
 
@@ -106,5 +113,6 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": _sized(op8_sharding),
     "op9_toxicity": _sized(op9_toxicity),
     "op10_license_scans": _sized(op10_license_scans),
+    "op11_ranked_lexical_search": _sized(op11_ranked_lexical_search),
     "op12_conversation_prefix_trie": _sized(op12_conversation_prefix_trie),
 }
