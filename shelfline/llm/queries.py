@@ -20,6 +20,7 @@ from shelfline.llm import (
     sharding,
     toxicity,
     url_filter,
+    vector_search,
 )
 from shelfline.llm.oracles import ORACLES
 from shelfline.llm.tables import small_batches, table
@@ -86,6 +87,10 @@ def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame
     return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
 
 
+def op13_approximate_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,4 +120,5 @@ QUERIES: dict[str, Query] = {
     "op10_license_scans": _sized(op10_license_scans),
     "op11_ranked_lexical_search": _sized(op11_ranked_lexical_search),
     "op12_conversation_prefix_trie": _sized(op12_conversation_prefix_trie),
+    "op13_approximate_nearest_neighbours": _sized(op13_approximate_nearest_neighbours),
 }
