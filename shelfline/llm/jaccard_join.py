@@ -44,6 +44,7 @@ WORDS = 4
 PERCENT = 85
 BLOCK_NGRAMS = 1_000_000  # n-grams that a block gathers before it sends them
 FRAGMENTS = 8  # of the n-gram order, in which overlaps are counted
+KEYS = ["doc_id", "row_key", "copy"]
 
 
 def least_overlap(size, percent: int):
@@ -100,7 +101,7 @@ class _Block:
         self.size = 0
         self.documents: list[pa.RecordBatch] = []
 
-    def add(self, doc_ids: pa.Array, part: Slice, words: int, percent: int) -> None:
+    def add(self, keys: list[pa.Array], part: Slice, words: int, percent: int) -> None:
         hashes, bounds = ngram_sets(part, words)
         marks, sizes = signatures(hashes, bounds), np.diff(bounds)
         place = np.full(part.rows, -1)
@@ -117,8 +118,8 @@ class _Block:
         self.size += total
         self.documents.append(
             pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(marks), pa.array(sizes.astype(np.int64)), pa.array(place)],
-                ["doc_id", "mark", "size", "place"],
+                [pa.array(marks), pa.array(sizes.astype(np.int64)), pa.array(place), *keys],
+                ["mark", "size", "place", *KEYS],
             )
         )
 
@@ -135,16 +136,13 @@ class _Block:
         again[:-1] |= same
         shared = np.bincount(owner[again], minlength=len(self.known))
         for batch in self.documents:
-            place = batch.column(3).to_numpy()
+            place = batch.column(2).to_numpy()
             own = np.zeros(len(place), np.int64)
             own[place >= 0] = shared[place[place >= 0]]
             yield _filled(
                 schema,
                 batch.num_rows,
-                doc_id=batch.column(0),
-                mark=batch.column(1),
-                size=batch.column(2),
-                place=pa.array(place),
+                **dict(zip(batch.schema.names, batch.columns)),
                 shared=pa.array(own),
                 block=pa.array(np.full(len(place), self.number)),
             )
@@ -179,12 +177,18 @@ def _filled(schema: pa.Schema, rows: int, **found: pa.Array) -> pa.RecordBatch:
     )
 
 
+def row_hashes() -> list[Column]:
+    """A row by hashes of key and text and of the text alone: never NULL, equal for equal rows."""
+    return [F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64("text").alias("copy")]
+
+
 def send_first_ngrams(
     documents: DataFrame, words: int, percent: int, fragments: int
 ) -> DataFrame:
-    """Documents (doc_id, mark, size, block, place, shared) and, with a fragment, the blocks'
+    """Documents (keys, mark, size, block, place, shared) and, with a fragment, the blocks'
     n-grams; in one table, so that both come from the same run of a task."""
     rows = columns(documents, ["doc_id", "text"])
+    keyed = rows.select("doc_id", *row_hashes(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, schema, block = TaskContext.get().partitionId(), 0, None, None
@@ -194,7 +198,7 @@ def send_first_ngrams(
             )
             for part in slices(text_column(batch), lower=True):
                 block = block or _Block(task << 32 | count, fragments)
-                block.add(batch.column(0).slice(part.first, part.rows), part, words, percent)
+                block.add(batch.slice(part.first, part.rows).columns[:3], part, words, percent)
                 if block.size >= BLOCK_NGRAMS:
                     yield from block.rows(schema)
                     block, count = None, count + 1
@@ -202,14 +206,16 @@ def send_first_ngrams(
             yield from block.rows(schema)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
+    return keyed.mapInArrow(
         run,
-        f"doc_id {kind}, mark bigint, size bigint, block bigint, place int, shared bigint, "
-        "fragment int, once binary, owners binary, often binary",
+        f"doc_id {kind}, row_key bigint, copy bigint, mark bigint, size bigint, block bigint, "
+        "place int, shared bigint, fragment int, once binary, owners binary, often binary",
     )
 
 
 _BLOCK_FIELDS = [
+    pa.field("row_key", pa.int64()),
+    pa.field("copy", pa.int64()),
     pa.field("mark", pa.int64()),
     pa.field("size", pa.int64()),
     pa.field("block", pa.int64()),
@@ -424,7 +430,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and mark (the class) of every row.
+    """doc_id, row_key, copy, n_shingles, component_id and root (the component's class) of every
+    row; `row_key` and `copy` are hashes of key and text and of the text.
 
     Documents link when their sets' Jaccard similarity is at least `percent`; a component's id is
     its smallest doc_id.  A NULL or wordless text has no n-grams and is linked with nothing, not
@@ -434,7 +441,7 @@ def near_duplicates(
     """
     fragments = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = hand_over(send_first_ngrams(documents, words, percent, fragments), "first-ngrams")
-    rows = sent.where(F.col("fragment").isNull()).select("doc_id", "mark", "size")
+    rows = sent.where(F.col("fragment").isNull()).select(*KEYS, "mark", "size")
     sized = rows.where("size > 0")
     classes = sized.groupBy("mark").agg(F.min("doc_id").alias("smallest"))
     chosen = classes.join(sharing_marks(sent, percent), "mark")
@@ -454,26 +461,54 @@ def near_duplicates(
     )
     second = linked(hand_over(rest, "left-pairs"), sets, percent)
     roots = connected_components(first.unionByName(second))
-    parts = classes.join(roots.toDF("mark", "root"), "mark", "left").withColumn(
-        "root", F.coalesce("root", "mark")
+    # Stored, so that a component of very many classes is joined over plain exchanges.
+    parts = hand_over(
+        classes.join(roots.toDF("mark", "root"), "mark", "left").withColumn(
+            "root", F.coalesce("root", "mark")
+        ),
+        "parts",
+    )
+    smallest = stored_small(
+        parts.groupBy("root").agg(F.min("smallest").alias("component")), "smallest"
     )
-    smallest = parts.groupBy("root").agg(F.min("smallest").alias("component"))
-    named = parts.join(smallest, "root").select(F.col("mark").alias("_mark"), "component")
+    named = parts.join(smallest, "root").select(F.col("mark").alias("_mark"), "root", "component")
     return rows.join(
         named, (rows["mark"] == named["_mark"]) & (rows["size"] > 0), "left"
     ).select(
-        "doc_id",
+        *KEYS,
         F.col("size").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
-        "mark",
+        "root",
     )
 
 
 def keep_one_each(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its own columns.
+    """One row of each component, one with the smallest doc_id, with its own columns.
+
+    A missing doc_id counts as the largest; of a key's texts that are in one component the one with
+    the smallest hash stays, of equal rows any one.  Rows without words stay, all of them."""
+    found = near_duplicates(documents, words, percent).where("n_shingles > 0")
+    members = hand_over(found.select("root", *KEYS), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *KEYS)).alias("first")
+    kept = members.groupBy("root").agg(first).select("first.row_key", "first.copy")
+    kept = hand_over(kept, "kept")
+    rows = members.groupBy("row_key", "copy").agg(F.count(F.lit(1)).alias("rows"))
+    gone = stored_small(
+        rows.join(kept, ["row_key", "copy"], "left_anti").select(*_hidden()), "copies"
+    )
+    again = hand_over(rows.where("rows > 1").join(kept, ["row_key", "copy"]), "repeated")
+    repeated = again.count()
+    given = documents.columns
+    hidden = dict(zip(("_row_key", "_copy"), row_hashes()))
+    left = documents.withColumns(hidden).join(gone, [*hidden], "left_anti")
+    if repeated:
+        again = small(again.select(*_hidden()), repeated)
+        once = left.join(again, [*hidden], "left_anti")
+        left = once.unionByName(
+            left.join(again, [*hidden], "left_semi").dropDuplicates([*hidden])
+        )
+    return left.select(*(F.col(f"`{name}`") for name in given))
+
 
-    Documents without words or without a doc_id stay, and so do repeated rows of a kept key."""
-    found = near_duplicates(documents, words, percent)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    gone = stored_small(gone.distinct(), "copies")
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+def _hidden() -> list[Column]:
+    return [F.col(name).alias(f"_{name}") for name in ("row_key", "copy")]

@@ -29,7 +29,7 @@ from shelfline.llm.words import (
 from shelfline.session import hand_over
 
 GRAM = 3
-MOST_RUNS = 100_000  # of all templates together; their runs go to every task
+MOST_RUNS = 100_000  # runs of all templates that go to every task; more are joined by shuffle
 DRIFT = 8  # diagonals of one match lie this close together
 LEAST_SHARE = 0.6  # of a template's runs
 PARTS = 1 << 20  # of the places that a stretch may cover
@@ -48,17 +48,21 @@ def _runs(texts: Sequence[str], length: int) -> Iterator[tuple[int, int, int]]:
             yield part.first + int(document[at]), int(place[at]), run
 
 
-def template_runs(spark: SparkSession, templates: Templates) -> DataFrame:
-    """(run, label, template, at, runs): the place of every run of every template."""
+def template_runs(
+    spark: SparkSession, templates: Templates, most_runs: int = MOST_RUNS
+) -> tuple[DataFrame, np.ndarray | None]:
+    """(run, label, template, at, runs): the place of every run of every template; and the runs
+    themselves, or None where there are more than `most_runs`: those are a stored table."""
     names = [(label, text) for label, texts in templates.items() for text in texts]
     found = list(_runs([text for _, text in names], GRAM))
-    if len(found) > MOST_RUNS:
-        raise ValueError(f"the templates have more than {MOST_RUNS} runs")
     sizes = np.bincount([n for n, _, _ in found], minlength=len(names))
     rows = [(run, names[n][0], n, at, int(sizes[n])) for n, at, run in found]
-    return spark.createDataFrame(
+    runs = spark.createDataFrame(
         rows, "run bigint, label string, template int, at int, runs int"
     )
+    if len(found) > most_runs:
+        return hand_over(runs, "template-runs"), None
+    return F.broadcast(runs), np.unique(np.array([r for r, *_ in rows], np.int64))
 
 
 def _phrases(phrases: Mapping[str, str]) -> list[tuple[int, int, str]]:
@@ -70,7 +74,7 @@ def _phrases(phrases: Mapping[str, str]) -> list[tuple[int, int, str]]:
     return out
 
 
-def _scan_slice(part: Slice, known: np.ndarray, phrases) -> tuple[list, ...]:
+def _scan_slice(part: Slice, known: np.ndarray | None, phrases) -> tuple[list, ...]:
     words = find_words(part, MARKS)
     hashes, document, place = hash_words(part, words), words.document, words.place
     count = np.zeros(part.rows, np.int64)
@@ -88,8 +92,10 @@ def _scan_slice(part: Slice, known: np.ndarray, phrases) -> tuple[list, ...]:
             labels[row].add(label)
     begin, runs = runs_of[GRAM]
     runs = runs.view(np.int64)
-    hit = known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs
-    begin, runs = begin[hit], runs[hit]
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, runs), max(len(known) - 1, 0))
+        hit = known[at] == runs if len(known) else np.zeros(len(runs), bool)
+        begin, runs = begin[hit], runs[hit]
     bounds = np.searchsorted(begin, words.first)
     hits = [
         [{"run": r, "place": p} for r, p in zip(runs[a:b].tolist(), place[begin[a:b]].tolist())]
@@ -106,8 +112,10 @@ def _scan_slice(part: Slice, known: np.ndarray, phrases) -> tuple[list, ...]:
     )
 
 
-def word_hits(documents: DataFrame, known: np.ndarray, phrases: Mapping[str, str]) -> DataFrame:
-    """Per row the base columns and its hits; a run that no template has is left out at once."""
+def word_hits(
+    documents: DataFrame, known: np.ndarray | None, phrases: Mapping[str, str]
+) -> DataFrame:
+    """Per row the base columns and its hits; a run that is not `known` is left out at once."""
     wanted = _phrases(phrases)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +152,7 @@ def vote(hits: DataFrame, runs: DataFrame, drift: int = DRIFT) -> DataFrame:
     notices that follow each other, is cut anew from each of its places on, so that none is missed.
     """
     row = ["doc_id", "row_key", "label", "template", "runs"]
-    # The templates' runs are bounded by MOST_RUNS, whatever the texts.
-    votes = hits.join(F.broadcast(runs), "run").withColumn(
+    votes = hits.join(runs, "run").withColumn(
         "diagonal", F.col("place") - F.col("at")
     )
     order = Window.partitionBy(*row).orderBy("diagonal", "place")
@@ -175,6 +182,7 @@ def scan_licenses(
     templates: Templates = TEMPLATES,
     phrases: Mapping[str, str] = PHRASES,
     least_share: float = LEAST_SHARE,
+    most_runs: int = MOST_RUNS,
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score per row.
 
@@ -183,10 +191,7 @@ def scan_licenses(
     each give a row, an empty table stays empty, other columns are dropped.
     """
     spark = documents.sparkSession
-    runs = template_runs(spark, templates)
-    known = np.unique(
-        np.array([r for _, _, r in _runs([t for x in templates.values() for t in x], GRAM)])
-    )
+    runs, known = template_runs(spark, templates, most_runs)
     scanned = hand_over(word_hits(documents, known, phrases), "license-hits")
     hits = scanned.select("doc_id", "row_key", F.explode(F.array_distinct("hits")).alias("hit"))
     spans = vote(hits.distinct().select("doc_id", "row_key", "hit.*"), runs)

@@ -1,10 +1,11 @@
 """Best-fit packing of tokenized documents, certified by lower bounds.
 
 Pieces are dealt to groups of bounded size; each is packed by best-fit decreasing.  Dual-feasible
-functions bound every group's bins, and those of all pieces, from below.  A group with a gap gives
-up all bins that are not full; one that meets its bound only its emptiest, with room for a bin
-between them.  The pieces given up are dealt anew and packed again, until the bins meet the bound
-of all pieces, one group holds all that is left, or no bin is saved.
+functions bound the bins of all pieces from below.  Where the groups together use more, all bins
+that are not full give up their pieces; those are dealt anew to groups twice as large, up to a
+bound, and packed again, until the bins meet the bound, one group holds all that is left, or several
+deals in a row save no bin.  Groups that meet their own bound keep only full
+bins too: what is left over in many small groups adds up.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from shelfline.session import hand_over
 CAPACITY = 2048
 END = 0  # the id behind each document
 GROUP_ROWS = 8192  # pieces that one task packs
-ROUNDS = 6
+LARGEST = 16  # times GROUP_ROWS that a group may grow to
+PATIENCE = 4  # deals in a row that may save nothing
 ROWS_AT_ONCE = 1000
 
 
@@ -145,11 +147,7 @@ def _pack_groups(dealt: DataFrame, capacity: int, number: int) -> DataFrame:
         lengths = group["length"].to_numpy()
         bins, offsets, left = best_fit(lengths, capacity)
         given_up = left > 0
-        if len(left) == least_bins(lengths, capacity):
-            order = np.argsort(-left, kind="stable")
-            enough = np.searchsorted(np.cumsum(left[order]), capacity) + 1
-            given_up[order[enough:]] = False
-        name = (number << 56) + (group["deal"][0].as_py() << 24)
+        name = (number << 48) + (group["deal"][0].as_py() << 20)
         out = group.append_column("sequence_id", pa.array(name + bins))
         out = out.append_column("offset", pa.array(offsets))
         return out.append_column("given_up", pa.array(given_up[bins]))
@@ -173,30 +171,37 @@ def pack_pieces(
     pieces: DataFrame,
     capacity: int = CAPACITY,
     group_rows: int = GROUP_ROWS,
-    rounds: int = ROUNDS,
+    patience: int = PATIENCE,
 ) -> DataFrame:
     """Add sequence_id and offset to (length, lot, ...); pass a stored table.
 
     Every piece of 1 to `capacity` ids gets a place; sequences have no gaps and no overlaps.  A
-    deal that saves no bin is dropped for the one before.
+    deal that saves no bin is dropped for the one before; `patience` of them in a row end the
+    exchange, and so do the bound of all pieces and a single group.
     """
     names, bound = pieces.columns, least_bins_of_all(pieces, capacity)
     done: list[DataFrame] = []
     rest, last, last_bins, closed = pieces, None, 0, 0
-    for number in range(rounds):
+    number, idle, size = 0, 0, group_rows
+    while True:
         rows = rest.count()
-        groups = max(1, -(-rows // group_rows))
+        groups = max(1, -(-rows // size))
         # The first deal is even; later ones mix the pieces anew.
         lot = F.col("lot") if not number else F.abs(F.xxhash64("lot", F.lit(number)) % 2147483647)
         dealt = rest.withColumn("deal", F.pmod(lot, F.lit(groups)).cast("bigint"))
         packed = hand_over(
             _pack_groups(dealt, capacity, number).drop("deal"), f"packed-{number}"
         )
+        number, size = number + 1, min(2 * size, LARGEST * group_rows)
         # Every bin has one piece at its begin.
         opened = {r[0]: r[1] for r in packed.where("offset = 0").groupBy("given_up").count().collect()}
         bins = sum(opened.values())
         if last is not None and bins >= last_bins:
-            break
+            idle += 1
+            if groups == 1 or idle >= patience:
+                break
+            continue
+        idle = 0
         if closed + bins <= bound or groups == 1:
             last = packed
             break
@@ -207,6 +212,14 @@ def pack_pieces(
     return reduce(DataFrame.unionAll, [*done, last]).select(*names, "sequence_id", "offset")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(bins, least_bins): the sequences used and the bound that no packing of the pieces beats."""
+    bound = least_bins_of_all(packed, capacity)
+    return packed.agg(
+        F.count_if(F.col("offset") == 0).alias("bins"), F.lit(bound).cast("bigint").alias("least_bins")
+    )
+
+
 def pack_documents(
     documents: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
 ) -> DataFrame:

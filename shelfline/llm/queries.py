@@ -55,7 +55,8 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("mark")
+    found = jaccard_join.near_duplicates(table(spark, folder, "documents"))
+    return found.drop("row_key", "copy", "root")
 
 
 def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 import public_tokenizers
@@ -16,10 +17,13 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 class Encoder:
     """Ids of the `vocabulary` file.  `ranks` is the same vocabulary for a faster library, whose
     ids are equal; texts with characters that two libraries' Unicode tables may class differently
-    (beyond Latin) go to the slower one, which defines the ids."""
+    (beyond Latin) or with the name of an added token go to the slower one, which defines the
+    ids."""
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str = RANKS):
         self.vocabulary, self.slow = vocabulary, None
+        with open(vocabulary, encoding="utf-8") as file:
+            self.added = [token["content"] for token in json.load(file).get("added_tokens", [])]
         with open(ranks, "rb") as file:
             pairs = [line.split() for line in file.read().splitlines() if line]
         self.fast = tiktoken.Encoding(
@@ -30,10 +34,10 @@ class Encoder:
         )
 
     def ids(self, text: str) -> np.ndarray:
-        """The ids, as little-endian 32-bit numbers; names of special tokens are plain text."""
-        if text.isascii() or max(text) < "ɐ":
+        """The ids, as little-endian 32-bit numbers; an added token's name is that token."""
+        plain = text.isascii() or max(text) < "ɐ"
+        if plain and not any(name in text for name in self.added):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         if self.slow is None:
             self.slow = Tokenizer.from_file(self.vocabulary)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")

@@ -88,13 +88,29 @@ def test_odd_rows_and_empty(spark):
     assert jj.near_duplicates(empty(spark)).count() == 0
 
 
+def stays(rows):
+    """Rows by component, from the plain version on numbers that do not repeat."""
+    place = {n: i for n, i in enumerate(sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)))}
+    numbered = [(n, rows[i][1]) for n, i in place.items()]
+    return ordered((rows[place[d]][0], ) for d, _, c in plain(numbered) if d == c)
+
+
 def test_one_of_each_stays(spark):
-    rows = corpus(3) + odd_texts()
+    rows = corpus(3) + [r for r in odd_texts() if r[0] is not None]
     docs = frame(spark, rows)
     kept = jj.keep_one_each(docs)
-    gone = {d for d, _, c in plain(rows) if d != c}
     assert kept.columns == docs.columns
-    assert tuples(kept, "doc_id") == ordered((d,) for d, _ in rows if d not in gone)
+    assert tuples(kept, "doc_id") == stays(rows)
+
+
+def test_repeated_keys_lose_no_text_and_keep_no_copy(spark):
+    a, b, c = prose(50, 80), prose(51, 80), prose(52, 80)
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (8, c), (None, a), (None, c + " x"), (9, None), (9, None), (9, "")]
+    rows += [(None, prose(60)), (None, prose(60))]
+    kept = jj.keep_one_each(frame(spark, rows))
+    expected = [(3, b), (5, a), (7, c), (9, None), (9, None), (9, ""), (None, prose(60))]
+    expected.append((None, c + " x"))  # a set that only rows without a key have is compared with none
+    assert tuples(kept, "doc_id", "text") == ordered(expected)
 
 
 def test_components_of_a_long_chain(spark):

@@ -55,6 +55,12 @@ def test_diagonals_find_templates(spark):
     assert got[50].labels == "apache,gpl,mit" and got[50].score == 0.5
 
 
+def test_many_runs_are_joined_by_shuffle(spark):
+    docs = frame(spark, corpus())
+    names = [*NAMES, "labels", "score"]
+    assert tuples(ls.scan_licenses(docs, most_runs=0), *names) == tuples(ls.scan_licenses(docs), *names)
+
+
 def test_votes(spark):
     """Neighbouring diagonals are one stretch; far ones are apart."""
     runs = spark.createDataFrame([(r, "x", 0, r, 6) for r in range(6)], "run bigint, label string, template int, at int, runs int")

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from shelfline.llm import packing
-from shelfline.llm.tokens import Encoder
+from shelfline.llm.tokens import VOCABULARY, Encoder
 from tests.llm.cases import empty, frame, odd_texts, prose
 
 
@@ -53,10 +54,14 @@ def test_both_libraries_give_the_same_ids():
     encoder = Encoder()
     texts = [t or "" for _, t in odd_texts()]
     texts += ["it's I'LL we've 'sx", "a\n\n\n b\t c  ", "<|endoftext|> x", "naïve façade ÑÇß 1234 5,6", "\x00\x1c\x85"]
-    encoder.ids("日")  # loads the slower library
+    texts += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "日<|endoftext|>語"]
+    untouched = Tokenizer.from_file(VOCABULARY)
     for text in texts:
-        slow = encoder.slow.encode(text, add_special_tokens=False).ids
-        assert encoder.ids(text).tolist() == slow == encoder.fast.encode_ordinary(text)
+        slow = untouched.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text).tolist() == slow
+        if "<|endoftext|>" not in text:
+            assert encoder.fast.encode_ordinary(text) == slow
+    assert 50256 in encoder.ids("a <|endoftext|> b")
 
 
 def check(rows, pieces, capacity):
@@ -94,15 +99,17 @@ def test_every_piece_has_one_place(spark, capacity, group_rows):
     assert bound <= used <= bound + 1 + bound // 100
 
 
-def test_exchange_saves_bins_of_small_groups(spark):
-    lengths = [(n, int(x)) for n, x in enumerate(np.random.Generator(np.random.PCG64(1)).integers(1, 40, 900))]
-    pieces = spark.createDataFrame(lengths, "lot bigint, length bigint").cache()
-    alone = packing.pack_pieces(pieces, 64, 30, rounds=1).select("sequence_id").distinct().count()
-    more = packing.pack_pieces(pieces, 64, 30)
-    used = more.select("sequence_id").distinct().count()
-    assert more.count() == 900 and used < alone
-    bound = packing.least_bins(np.array([x for _, x in lengths]), 64)
-    assert bound <= used <= 1.02 * bound
+@pytest.mark.parametrize("least,most", [(1, 2048), (500, 900)])
+def test_exchange_of_small_groups_comes_near_one_group(spark, least, most):
+    random = np.random.Generator(np.random.PCG64(1))
+    lengths = random.integers(least, most + 1, 3000)
+    rows = [(n, int(x)) for n, x in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "lot bigint, length bigint").cache()
+    packed = packing.pack_pieces(pieces, 2048, 40).cache()
+    alone = len(packing.best_fit(lengths, 2048)[2])
+    proof = packing.certificate(packed).first()
+    assert packed.count() == 3000 and packed.select("lot").distinct().count() == 3000
+    assert proof["least_bins"] == packing.least_bins(lengths, 2048) <= proof["bins"] <= 1.01 * alone
 
 
 def test_empty(spark):
