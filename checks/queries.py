@@ -450,6 +450,8 @@ def prepare_train_test(spark, folder):
     return labelled[0].unionByName(labelled[1]).select(*columns)
 
 
+# Half of the library's default: a round of a tree costs a job, however small the table.
+MODEL_TREES = 100
 _runs: dict[tuple[str, str], dict[str, object]] = {}
 
 
@@ -459,7 +461,7 @@ def modeling(spark, folder):
     if key not in _runs:
         baselines = B.baseline_metrics(all_baselines(spark, folder))
         features = X.feature_matrix(mart(spark, folder))
-        _runs[key] = L.run_modeling(features, baselines, YEAR)
+        _runs[key] = L.run_modeling(features, baselines, YEAR, MODEL_TREES)
     return _runs[key]
 
 

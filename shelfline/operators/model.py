@@ -1,22 +1,20 @@
-"""Boosted-tree demand forecast with MLlib."""
+"""Boosted-tree demand forecast."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.functions.columns import number
 from shelfline.functions.metrics import evaluate
 from shelfline.operators.baselines import best_baseline
+from shelfline.operators.boosting import DEPTH, NODES, Forest, add_prediction, fit_forest, node_rows
 from shelfline.operators.validation import train_holdout_split
 from shelfline.schema import DATE, FORECAST, SERIES_KEYS, TARGET, require_columns
-from shelfline.session import hand_over, scratch_path, shared_folder
+from shelfline.session import hand_over
 
 # Same-day outcomes that a forecast must not see.
 LEAKAGE_COLUMNS = [
@@ -29,18 +27,17 @@ LEAKAGE_COLUMNS = [
     "is_return_flag",
 ]
 
-# The learner's settings; depth 5 gives the 31 splits of a 32-leaf tree.
+# The learner's settings; 31 leaves are 30 splits.
 TREES = 200
 LEARNING_RATE = 0.05
-DEPTH = 5
-SEED = 42
+LEAVES = 31
 
 
 @dataclass
 class DemandModel:
-    """A fitted model, the features asked for and those that carried any value."""
+    """A fitted forest, the features asked for and those that carried any value."""
 
-    fitted: PipelineModel
+    forest: Forest
     feature_columns: list[str]
     used_columns: list[str]
 
@@ -74,12 +71,9 @@ def prepare_train_test(
     return train, holdout, names
 
 
-def _model_input(df: DataFrame, names: list[str]) -> DataFrame:
-    """Features as doubles; a missing value is told apart by its own indicator."""
-    return df.withColumns(
-        {f"_x_{n}": F.col(n).cast("double") for n in names}
-        | {f"_gap_{n}": F.col(n).isNull().cast("double") for n in names}
-    )
+def _inputs(df: DataFrame, names: list[str]) -> list[Column]:
+    """Features as doubles; NaN is missing like NULL."""
+    return [F.nanvl(df[f"`{n}`"].cast("double"), F.lit(None)).alias(n) for n in names]
 
 
 def train_model(
@@ -88,48 +82,24 @@ def train_model(
     target: str = TARGET,
     trees: int = TREES,
     learning_rate: float = LEARNING_RATE,
+    leaves: int = LEAVES,
     depth: int = DEPTH,
-    seed: int = SEED,
 ) -> DemandModel:
-    """Fit the trees; missing features are set to the training median."""
-    shared_folder(train.sparkSession)  # lets boosting checkpoint its residuals every few trees
-    rows = _model_input(train.select(target, *names), names).persist()
-    try:
-        known = rows.agg(*(F.count(f"_x_{n}").alias(n) for n in names)).first().asDict()
-        if not any(known.values()):
-            raise ValueError("no feature of the training rows has a value")
-        used = [n for n in names if known[n]]
-        fitted = _pipeline(used, target, trees, learning_rate, depth, seed).fit(rows)
-    finally:
-        rows.unpersist()
-    return DemandModel(fitted, names, used)
-
-
-def _pipeline(
-    used: list[str], target: str, trees: int, learning_rate: float, depth: int, seed: int
-) -> Pipeline:
-    filled = [f"_fill_{n}" for n in used]
-    stages = [
-        Imputer(strategy="median", inputCols=[f"_x_{n}" for n in used], outputCols=filled),
-        VectorAssembler(inputCols=[*filled, *(f"_gap_{n}" for n in used)], outputCol="_features"),
-        GBTRegressor(
-            featuresCol="_features",
-            labelCol=target,
-            predictionCol="_prediction",
-            maxIter=trees,
-            stepSize=learning_rate,
-            maxDepth=depth,
-            seed=seed,
-        ),
-    ]
-    return Pipeline(stages=stages)
+    """Fit the trees, each by its best leaves; a missing feature goes to the side that it fits."""
+    y = train[f"`{target}`"].cast("double").alias("_y")
+    rows = hand_over(train.select(y, *_inputs(train, names)), "training")
+    known = rows.agg(*(F.count(f"`{n}`").alias(n) for n in names)).first().asDict()
+    if not any(known.values()):
+        raise ValueError("no feature of the training rows has a value")
+    used = [n for n in names if known[n]]
+    forest = fit_forest(rows, used, "_y", trees, learning_rate, leaves, depth=depth)
+    return DemandModel(forest, names, used)
 
 
 def predict_non_negative(model: DemandModel, df: DataFrame) -> DataFrame:
     """Add the forecast, never below zero; no row is left out."""
-    scored = model.fitted.transform(_model_input(df, model.used_columns))
-    forecast = F.greatest(F.col("_prediction"), F.lit(0.0))
-    return scored.withColumn(FORECAST, forecast).select(*df.columns, FORECAST)
+    scored = add_prediction(df, model.forest, _inputs(df, model.used_columns), FORECAST)
+    return scored.withColumn(FORECAST, F.greatest(F.col(FORECAST), F.lit(0.0)))
 
 
 def compare_with_best_baseline(
@@ -147,40 +117,32 @@ def compare_with_best_baseline(
     return row.unionByName(best)
 
 
-def _input_names(model: DemandModel) -> list[str]:
-    return [*model.used_columns, *model.used_columns]
+def model_nodes(model: DemandModel, df: DataFrame) -> DataFrame:
+    """The trees as a table, one row per node.  `df` only lends its session."""
+    return df.sparkSession.createDataFrame(node_rows(model.forest), NODES)
+
+
+def _per_feature(model: DemandModel, df: DataFrame, value: Column) -> DataFrame:
+    names = df.sparkSession.createDataFrame([(n,) for n in model.feature_columns], "feature string")
+    found = model_nodes(model, df).groupBy("feature").agg(value.alias("importance"))
+    zero = F.lit(0).cast(found.schema["importance"].dataType)
+    return (
+        names.join(found, "feature", "left")
+        .select("feature", F.coalesce("importance", zero).alias("importance"))
+        .orderBy(F.desc("importance"), "feature")
+    )
 
 
 def feature_importance(model: DemandModel, df: DataFrame) -> DataFrame:
-    """Gain share per feature, largest first; a feature and its missing-value indicator count
-    together, a feature without any value counts zero.  `df` only lends its session."""
-    gains = dict.fromkeys(model.feature_columns, 0.0)
-    weights = model.fitted.stages[-1].featureImportances.toArray()
-    for name, weight in zip(_input_names(model), weights):
-        gains[name] += float(weight)
-    table = df.sparkSession.createDataFrame(list(gains.items()), "feature string, importance double")
-    return table.orderBy(F.desc("importance"), "feature")
+    """Share of all splits' gains per feature, largest first; a feature without any value or split
+    counts zero.  `df` only lends its session."""
+    total = sum(sum(tree.gain) for tree in model.forest.trees)
+    return _per_feature(model, df, F.sum("gain") / (total or 1.0))
 
 
 def split_counts(model: DemandModel, df: DataFrame) -> DataFrame:
-    """Number of splits per feature over all trees, read from the saved node table."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "trees")
-    model.fitted.stages[-1].write().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    index = F.col("nodeData.split.featureIndex")
-    names = F.array(*(F.lit(name) for name in _input_names(model)))
-    counted = (
-        nodes.where(index >= 0)
-        .groupBy(F.get(names, index).alias("feature"))
-        .agg(F.count(F.lit(1)).alias("importance"))
-    )
-    all_features = spark.createDataFrame([(n,) for n in model.feature_columns], "feature string")
-    return (
-        all_features.join(counted, "feature", "left")
-        .select("feature", F.coalesce("importance", F.lit(0)).alias("importance"))
-        .orderBy(F.desc("importance"), "feature")
-    )
+    """Number of splits per feature over all trees."""
+    return _per_feature(model, df, F.count(F.lit(1)))
 
 
 def run_modeling(
