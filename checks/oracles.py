@@ -524,6 +524,18 @@ oracle(
     doubles="missing_share",
 )
 
+oracle(
+    "data_quality_sketches",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS missing_count, "
+        f"ROUND(CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*), 6) AS missing_share, "
+        "TRUE AS unique_count_is_near FROM raw"
+        for c in RAW.split(", ")
+    ),
+    "raw",
+    doubles="missing_share",
+)
+
 # Answers: mart, features, baselines -----------------------------------------------------
 
 MART_DOUBLES = "sales_qty avg_unit_price revenue returns_qty net_sales_qty"
@@ -641,6 +653,29 @@ oracle(
     "split_by_fold", _roles.format(split="") + " WHERE f.split = 2", "mart", "folds", doubles="net_sales_qty"
 )
 
+# Every row once per fold and role, and each metric from those rows.
+cte(
+    "fold_rows",
+    """
+SELECT b.*, f.split,
+  CASE WHEN b.sales_date <= f.train_end THEN 'train' ELSE 'valid' END AS role
+FROM baselines b JOIN folds f ON (b.sales_date BETWEEN f.train_start AND f.train_end)
+  OR (b.sales_date BETWEEN f.valid_start AND f.valid_end)""",
+    "baselines",
+    "folds",
+)
+oracle(
+    "baseline_metrics_by_fold",
+    " UNION ALL ".join(
+        f"SELECT split, role, '{c}' AS baseline, '{m}' AS metric, CAST({e} AS DOUBLE) AS value "
+        f"FROM fold_rows WHERE {c} IS NOT NULL GROUP BY split, role"
+        for c in BASELINES
+        for m, e in metric_sql(ACTUAL, c).items()
+    ),
+    "fold_rows",
+    doubles="value",
+)
+
 # Answers: metrics -----------------------------------------------------------------------
 
 _F = f"forecast{YEAR}"

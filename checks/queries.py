@@ -68,7 +68,13 @@ def fact(spark, folder):
 
 
 def mart(spark, folder):
-    return M.daily_sales_mart(fact(spark, folder))
+    """The mart of stored facts: its parts are read apart."""
+    return M.daily_sales_mart(hand_over(fact(spark, folder), "facts"))
+
+
+def daily(spark, folder):
+    """The mart without texts and distinct counts."""
+    return M.daily_sums(fact(spark, folder))
 
 
 def sales_table(spark, folder):
@@ -101,7 +107,7 @@ def policy(spark, folder, days=YEAR):
 
 
 def segments(spark, folder):
-    return G.abc_xyz_segments(mart(spark, folder))
+    return G.abc_xyz_segments(daily(spark, folder))
 
 
 def typed_text(df: DataFrame) -> DataFrame:
@@ -202,6 +208,20 @@ def data_quality_summary(spark, folder):
     return Q.data_quality_summary(raw(spark, folder)).drop("dtype")
 
 
+@query
+def data_quality_sketches(spark, folder):
+    """The summary from one sketch per column and day, and whether it is near the exact one."""
+    rows = raw(spark, folder)
+    day = F.to_date(moment(rows, "invoice_date")).alias("day")
+    stored = hand_over(Q.column_sketches(rows, [day]), "sketches")
+    about = Q.summary_of_sketches(stored, rows.schema)
+    exact = Q.data_quality_summary(rows).select("column", F.col("unique_count").alias("exact"))
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 0.05 * F.col("exact")
+    return about.join(exact, "column").select(
+        "column", "missing_count", "missing_share", near.alias("unique_count_is_near")
+    )
+
+
 # Mart -----------------------------------------------------------------------------------
 
 
@@ -290,7 +310,7 @@ def lag_rolling_split_groups(spark, folder):
 
 def _register_baseline(name: str) -> None:
     def run(spark, folder):
-        rows = mart(spark, folder).select(*MART_KEYS, TARGET)
+        rows = daily(spark, folder).select(*MART_KEYS, TARGET)
         return rounded(B.add_baselines(rows, [name]))
 
     QUERIES[name] = run
@@ -302,17 +322,17 @@ for _name in B.BASELINES:
 
 @query
 def baselines_all(spark, folder):
-    return B.add_baselines(mart(spark, folder).select(*MART_KEYS, TARGET))
+    return B.add_baselines(daily(spark, folder).select(*MART_KEYS, TARGET))
 
 
 @query
 def seasonal_naive(spark, folder):
-    return B.add_seasonal_naive(mart(spark, folder).select(*MART_KEYS, TARGET), 14)
+    return B.add_seasonal_naive(daily(spark, folder).select(*MART_KEYS, TARGET), 14)
 
 
 @query
 def moving_average_forecast(spark, folder):
-    return B.add_moving_average(mart(spark, folder).select(*MART_KEYS, TARGET), 5)
+    return B.add_moving_average(daily(spark, folder).select(*MART_KEYS, TARGET), 5)
 
 
 @query
@@ -350,7 +370,7 @@ def make_time_series_folds(spark, folder):
 
 @query
 def split_by_fold(spark, folder):
-    rows = mart(spark, folder).select(*MART_KEYS, TARGET)
+    rows = daily(spark, folder).select(*MART_KEYS, TARGET)
     fold = V.make_time_splits(mart_days(spark, folder), DATE, 3, 28).where("split = 2").first()
     train, valid = V.split_by_fold(rows, fold)
     return train.withColumn("role", F.lit("train")).unionByName(
@@ -360,10 +380,16 @@ def split_by_fold(spark, folder):
 
 @query
 def assign_folds(spark, folder):
-    rows = mart(spark, folder).select(*MART_KEYS, TARGET)
+    rows = daily(spark, folder).select(*MART_KEYS, TARGET)
     return V.assign_folds(rows, V.make_time_splits(mart_days(spark, folder), DATE, 3, 28))
 
 
+@query
+def baseline_metrics_by_fold(spark, folder):
+    rows = B.add_baselines(sales_table(spark, folder).select(*MART_KEYS, TARGET))
+    return B.baseline_metrics_by_fold(rows, V.make_time_splits(mart_days(spark, folder), DATE, 3, 28))
+
+
 # Metrics --------------------------------------------------------------------------------
 
 
@@ -400,18 +426,18 @@ def evaluate(spark, folder):
 
 @query
 def segment_stats(spark, folder):
-    return G.segment_stats(mart(spark, folder))
+    return G.segment_stats(daily(spark, folder))
 
 
 @query
 def abc_segment(spark, folder):
-    stats = G.segment_stats(mart(spark, folder)).select(*SERIES_KEYS, "revenue")
+    stats = G.segment_stats(daily(spark, folder)).select(*SERIES_KEYS, "revenue")
     return G.add_abc_segment(stats)
 
 
 @query
 def xyz_segment(spark, folder):
-    return G.add_xyz_segment(G.segment_stats(mart(spark, folder)))
+    return G.add_xyz_segment(G.segment_stats(daily(spark, folder)))
 
 
 @query
@@ -421,7 +447,7 @@ def abc_xyz_segments(spark, folder):
 
 @query
 def abc_xyz_compat(spark, folder):
-    renamed = mart(spark, folder).withColumnsRenamed({TARGET: "sales", "market_id": "country"})
+    renamed = daily(spark, folder).withColumnsRenamed({TARGET: "sales", "market_id": "country"})
     return G.abc_xyz_from_sales(renamed)
 
 
@@ -782,7 +808,7 @@ def revenue_vs_error(spark, folder):
 
 @query
 def top_revenue_products(spark, folder):
-    return R.top_revenue_products(mart(spark, folder), 10)
+    return R.top_revenue_products(daily(spark, folder), 10)
 
 
 @query

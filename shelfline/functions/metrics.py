@@ -74,3 +74,38 @@ def evaluate(df: DataFrame, actual: str, forecast: str) -> DataFrame:
 def metrics_table(df: DataFrame, actual: str, forecast: str) -> DataFrame:
     """All six metrics as rows (metric, value)."""
     return evaluate(df, actual, forecast).unpivot([], METRICS, "metric", "value")
+
+
+def error_sums(actual: Column, forecast: Column, threshold: float = 0.0) -> dict[str, Column]:
+    """The sums behind all six metrics; those of parts add up to those of the whole."""
+    error = actual - forecast
+    return {
+        "pairs": F.count(error),
+        "absolute": _total(F.abs(error)),
+        "square": _total(error * error),
+        "surplus": _total(forecast - actual),
+        "scale": _scale(actual, forecast),
+        "served": F.count_if(forecast >= actual),
+        "short": F.count_if(error > threshold),
+    }
+
+
+def metrics_of_sums() -> dict[str, Column]:
+    """The six metrics from columns named as in `error_sums`."""
+    pairs, scale = F.col("pairs"), F.col("scale")
+
+    def mean(name: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(name).cast("double"), pairs), F.lit(0.0))
+
+    def scaled(name: str) -> Column:
+        value = F.col(name)
+        return F.when(scale != 0, F.try_divide(value, scale)).otherwise(F.signum(value))
+
+    return {
+        "wmape": scaled("absolute"),
+        "mae": mean("absolute"),
+        "rmse": F.sqrt(mean("square")),
+        "bias": scaled("surplus"),
+        "service_level_proxy": mean("served"),
+        "stockout_risk_rate": mean("short"),
+    }

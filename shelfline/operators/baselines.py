@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.functions.metrics import METRICS, forecast_metrics
+from shelfline.functions.metrics import METRICS, error_sums, forecast_metrics, metrics_of_sums
 from shelfline.operators.features import past, series_window
 from shelfline.operators.ordered import RUN_ROWS, with_frames
+from shelfline.operators.validation import assign_folds
 from shelfline.schema import DATE, SERIES_KEYS, TARGET, require_columns
 
 # Names of the baselines.
@@ -124,6 +125,48 @@ def baseline_metrics(
     return wide.select(F.inline(F.array(*long)))
 
 
+def daily_error_sums(
+    df: DataFrame, names: list[str] | None = None, target: str = TARGET, date_column: str = DATE
+) -> DataFrame:
+    """(date, baseline, sums behind the metrics): one aggregation of rows that carry baselines, whose
+    exchange holds a row per date and task.  Rows without a date are in no fold."""
+    names = names or BASELINES
+    sums = {n: error_sums(F.col(target), F.col(n)) for n in names}
+    wide = (
+        df.where(F.col(date_column).isNotNull())
+        .groupBy(date_column)
+        .agg(*(c.alias(f"{n}__{part}") for n, parts in sums.items() for part, c in parts.items()))
+    )
+    long = [
+        F.struct(F.lit(n).alias("baseline"), *(F.col(f"{n}__{part}").alias(part) for part in parts))
+        for n, parts in sums.items()
+    ]
+    return wide.select(date_column, F.inline(F.array(*long)))
+
+
+def baseline_metrics_by_fold(
+    df: DataFrame,
+    folds: DataFrame,
+    names: list[str] | None = None,
+    target: str = TARGET,
+    date_column: str = DATE,
+) -> DataFrame:
+    """(split, role, baseline, metric, value) of each fold's training and validation range.
+
+    The metrics' sums are additive, so rows are summed per date once, and folds, which may overlap,
+    are ranges of dates: no row of `df` is copied per fold.
+    """
+    daily = daily_error_sums(df, names, target, date_column)
+    parts = [c for c in daily.columns if c not in (date_column, "baseline")]
+    summed = (
+        assign_folds(daily, folds, date_column)
+        .groupBy("split", "role", "baseline")
+        .agg(*(F.sum(c).alias(c) for c in parts))
+    )
+    wide = summed.select("split", "role", "baseline", *(c.alias(n) for n, c in metrics_of_sums().items()))
+    return wide.unpivot(["split", "role", "baseline"], METRICS, "metric", "value")
+
+
 def best_baseline(metrics: DataFrame) -> DataFrame:
     """The baseline with the smallest WMAPE, by name among equals."""
     wmape = metrics.where(F.lower("metric") == "wmape")

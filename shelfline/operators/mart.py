@@ -65,41 +65,11 @@ def _added() -> dict[str, Column]:
     }
 
 
-def _mart_parts(keyed: DataFrame) -> DataFrame:
-    """Each fact row three times: with its invoice and all it adds up to, with its customer, and
-    with its description, as `kind` and `text`."""
-    kinds = {"invoice": _added(), "customer_id": {}, "description": {}}
-    parts = [
-        F.struct(
-            F.lit(kind).alias("kind"),
-            F.col(kind).alias("text"),
-            *(
-                values.get(name, F.lit(None)).cast(type_name).alias(name)
-                for name, type_name in _PART_TYPES.items()
-            ),
-        )
-        for kind, values in kinds.items()
-    ]
-    return keyed.select(*MART_KEYS, F.inline(F.array(*parts)))
-
-
-_PART_TYPES = {
-    "sales_qty": "double",
-    "returns_qty": "double",
-    "net_sales_qty": "double",
-    "revenue": "double",
-    "price_sum": "double",
-    "price_rows": "bigint",
-    "is_return_flag": "boolean",
-    "is_price_missing": "boolean",
-}
-
-
-def _totals() -> list[Column]:
-    return [
-        (F.bool_or if kind == "boolean" else F.sum)(name).alias(name)
-        for name, kind in _PART_TYPES.items()
-    ]
+def _daily_totals(keyed: DataFrame) -> DataFrame:
+    rows = keyed.select(*MART_KEYS, *(c.alias(n) for n, c in _added().items()))
+    flags = ("is_return_flag", "is_price_missing")
+    totals = ((F.bool_or if n in flags else F.sum)(n).alias(n) for n in _added())
+    return rows.groupBy(*MART_KEYS).agg(*totals)
 
 
 def _finished(daily: DataFrame) -> DataFrame:
@@ -115,26 +85,38 @@ def _finished(daily: DataFrame) -> DataFrame:
 
 def daily_sums(fact: DataFrame) -> DataFrame:
     """The mart without description and distinct counts: one hash aggregation, one exchange."""
-    rows = with_mart_keys(fact).select(*MART_KEYS, *(c.alias(n) for n, c in _added().items()))
-    return _finished(rows.groupBy(*MART_KEYS).agg(*_totals()))
+    return _finished(_daily_totals(with_mart_keys(fact)))
+
+
+def _distinct_per_key(keyed: DataFrame, column: str, made: Column) -> DataFrame:
+    """One value per mart key from the key's distinct known values of a column.
+
+    Values are grouped with the key first, so a key that holds a third of all rows spreads over its
+    values, and counting distinct ones is counting rows.
+    """
+    known = keyed.where(F.col(column).isNotNull()).select(*MART_KEYS, column)
+    return known.distinct().groupBy(*MART_KEYS).agg(made)
 
 
 def daily_sales_mart(fact: DataFrame) -> DataFrame:
     """One row per sales_date x stock_code x market_id; any description, the smallest, stands.
 
-    One scan and two exchanges.  Rows are first grouped by key and distinct invoice, customer or
-    description, so a key that holds a third of all rows spreads over its invoices; the distinct
-    counts then are plain counts.  The first grouping is a hash aggregation with map-side
-    partials; only its result is sorted, for the smallest text.
+    Sums, invoices, customers and descriptions are grouped apart, each from its own columns of the
+    facts, and joined on the key, which all are partitioned by.  The keys of the parts are unique, so
+    a reader that does not select a part's column neither joins nor reads it.  Pass a stored table.
     """
-    once = _mart_parts(with_mart_keys(fact)).groupBy(*MART_KEYS, "kind", "text").agg(*_totals())
-    daily = once.groupBy(*MART_KEYS).agg(
-        *_totals(),
-        F.count(F.when(F.col("kind") == "invoice", F.col("text"))).alias("invoices_cnt"),
-        F.count(F.when(F.col("kind") == "customer_id", F.col("text"))).alias("customers_cnt"),
-        F.min(F.when(F.col("kind") == "description", F.col("text"))).alias("description"),
-    )
-    return _finished(daily)
+    keyed = with_mart_keys(fact)
+    count = F.count(F.lit(1))
+    parts = {
+        "invoice": count.alias("invoices_cnt"),
+        "customer_id": count.alias("customers_cnt"),
+        "description": F.min("description").alias("description"),
+    }
+    daily = _daily_totals(keyed)
+    for column, made in parts.items():
+        daily = daily.join(_distinct_per_key(keyed, column, made), MART_KEYS, "left")
+    counted = {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in ("invoices_cnt", "customers_cnt")}
+    return _finished(daily.withColumns(counted))
 
 
 def dim_date(fact: DataFrame) -> DataFrame:

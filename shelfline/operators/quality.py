@@ -1,8 +1,9 @@
 """Quality checks on normalised transactions.
 
-A report row is (check, passed, metric, message) with the counts in a map.  Duplicates need the
-rows grouped by all columns; every other check is then a weighted sum over the same groups, so
-the full report reads its input once.
+A report row is (check, passed, metric, message) with the counts in a map.  Duplicates are counted
+in two steps: rows are shuffled as 128-bit signatures first, and only rows whose signature repeats
+are read again and grouped by all columns, so equal signatures of unlike rows do no harm.  All
+other checks are sums that each task makes of its own rows.
 """
 
 from __future__ import annotations
@@ -13,31 +14,52 @@ from pyspark.sql import types as T
 
 from shelfline.functions.columns import column_or_null, moment, number, share
 from shelfline.schema import TRANSACTION_COLUMNS, missing_columns
+from shelfline.session import hand_over
 
 BLANKS = " \t\n\r\f\v"
+SIGNATURE = ["_signature_1", "_signature_2"]
+BROADCAST_SIGNATURES = 1_000_000  # repeated ones, of 16 bytes each
+SKETCH_BITS = 12  # of a distinct-count sketch: a standard error of 1.6 %
 
 
-def _weigh(condition: Column, weight: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
-
-
-def _counts(df: DataFrame, weight: Column) -> dict[str, Column]:
-    """Row counts behind the checks, for rows that stand for `weight` equal rows."""
+def _counts(df: DataFrame) -> dict[str, Column]:
+    """Row counts behind the checks, but for the copies."""
     price = number(df, "unit_price")
     code = column_or_null(df, "stock_code").cast("string")
     invoice = F.coalesce(column_or_null(df, "invoice").cast("string"), F.lit(""))
     returned = invoice.startswith("C") | F.coalesce(number(df, "quantity") < 0, F.lit(False))
     return {
-        "total": F.coalesce(F.sum(weight), F.lit(0)),
-        "copies": F.coalesce(F.sum(weight - 1), F.lit(0)),
-        "price_invalid": _weigh(price <= 0, weight),
-        "price_missing": _weigh(price.isNull(), weight),
-        "date_missing": _weigh(moment(df, "invoice_date").isNull(), weight),
-        "code_missing": _weigh(code.isNull() | (F.trim(code, F.lit(BLANKS)) == ""), weight),
-        "returned": _weigh(returned, weight),
+        "total": F.count(F.lit(1)),
+        "price_invalid": F.count_if(price <= 0),
+        "price_missing": F.count_if(price.isNull()),
+        "date_missing": F.count_if(moment(df, "invoice_date").isNull()),
+        "code_missing": F.count_if(code.isNull() | (F.trim(code, F.lit(BLANKS)) == "")),
+        "returned": F.count_if(returned),
     }
 
 
+def row_signature(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns: equal rows, with missing as a value, have equal ones."""
+    parts = []
+    for field in df.schema.fields:
+        column = df[f"`{field.name}`"]
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            column = column + F.lit(0.0)  # the two zeros are equal
+        parts += [column, column.isNull()]
+    return [F.xxhash64(F.lit(seed), *parts).alias(n) for seed, n in enumerate(SIGNATURE)]
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """Every distinct row that occurs more than once, with its number of rows as `_rows`."""
+    signed = df.select("*", *row_signature(df))
+    counted = signed.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = hand_over(counted.where("_rows > 1").select(*SIGNATURE), "repeated")
+    few = repeated.count() <= BROADCAST_SIGNATURES
+    suspects = signed.join(F.broadcast(repeated) if few else repeated, SIGNATURE, "left_semi")
+    groups = suspects.groupBy(*(f"`{c}`" for c in df.columns)).agg(F.count(F.lit(1)).alias("_rows"))
+    return groups.where("_rows > 1")
+
+
 def _row(
     check: str, metric: dict[str, Column], passed: Column, good: str, bad: str
 ) -> Column:
@@ -120,18 +142,18 @@ def _rows() -> dict[str, Column]:
     }
 
 
-def _grouped_counts(df: DataFrame) -> DataFrame:
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    return groups.agg(*(c.alias(n) for n, c in _counts(groups, F.col("_copies")).items()))
+def _single_counts(df: DataFrame) -> DataFrame:
+    return df.agg(*(c.alias(n) for n, c in _counts(df).items()))
 
 
-def _single_counts(df: DataFrame) -> DataFrame:
-    return df.agg(*(c.alias(n) for n, c in _counts(df, F.lit(1)).items()))
+def _all_counts(df: DataFrame) -> DataFrame:
+    copies = repeated_rows(df).agg(F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("copies"))
+    return _single_counts(df).withColumn("copies", copies.scalar())
 
 
 def _single(df: DataFrame, check: str) -> DataFrame:
     duplicates = check == "duplicate_transaction_rows"
-    counts = _grouped_counts(df) if duplicates else _single_counts(df)
+    counts = _all_counts(df) if duplicates else _single_counts(df)
     return counts.select(F.inline(F.array(_rows()[check])))
 
 
@@ -168,7 +190,7 @@ def check_returns_share(df: DataFrame) -> DataFrame:
 
 def run_all_data_checks(df: DataFrame) -> DataFrame:
     """All seven checks in fixed order."""
-    return _grouped_counts(df).select(F.inline(F.array(_required_row(df), *_rows().values())))
+    return _all_counts(df).select(F.inline(F.array(_required_row(df), *_rows().values())))
 
 
 def long_report(report: DataFrame) -> DataFrame:
@@ -178,22 +200,15 @@ def long_report(report: DataFrame) -> DataFrame:
     )
 
 
-def data_quality_summary(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Type, missing count and share, and number of known values per column."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+def _known(df: DataFrame, field: T.StructField) -> Column:
+    """The column, NaN being missing."""
+    column = df[f"`{field.name}`"]
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(column), column)
+    return column
 
-    def known(field: T.StructField) -> Column:
-        column = df[field.name]
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            return F.when(~F.isnan(column), column)
-        return column
 
-    fields = df.schema.fields
-    wide = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *(F.count_if(known(f).isNull()).alias(f"missing_{i}") for i, f in enumerate(fields)),
-        *(distinct(known(f)).alias(f"unique_{i}") for i, f in enumerate(fields)),
-    )
+def _summary_rows(wide: DataFrame, fields: list[T.StructField]) -> DataFrame:
     rows = [
         F.struct(
             F.lit(f.name).alias("column"),
@@ -205,3 +220,56 @@ def data_quality_summary(df: DataFrame, approx: bool = False) -> DataFrame:
         for i, f in enumerate(fields)
     ]
     return wide.select(F.inline(F.array(*rows)))
+
+
+def data_quality_summary(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Type, missing count and share, and number of known values per column.
+
+    Each column's values are grouped by themselves, from a scan of that column alone; with `approx`
+    one scan makes a sketch per column.
+    """
+    fields = df.schema.fields
+    wide = df.agg(
+        F.count(F.lit(1)).alias("total"),
+        *(F.count_if(_known(df, f).isNull()).alias(f"missing_{i}") for i, f in enumerate(fields)),
+        *(
+            F.approx_count_distinct(_known(df, f)).alias(f"unique_{i}")
+            for i, f in enumerate(fields)
+            if approx
+        ),
+    )
+    if not approx:
+        values = (df.select(_known(df, f).alias("v")).where("v IS NOT NULL") for f in fields)
+        counts = (v.distinct().agg(F.count(F.lit(1)).alias("n")).scalar() for v in values)
+        wide = wide.withColumns({f"unique_{i}": n for i, n in enumerate(counts)})
+    return _summary_rows(wide, fields)
+
+
+def column_sketches(df: DataFrame, by: list[Column]) -> DataFrame:
+    """Rows, missing values and a sketch of the known ones of every column, per group of `by`.
+
+    Store it per day: sketches of any days merge to the sketch of all their rows.
+    """
+    fields = df.schema.fields
+    text = [_known(df, f).cast("string") for f in fields]
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        *(F.count_if(t.isNull()).alias(f"missing_{i}") for i, t in enumerate(text)),
+        *(F.hll_sketch_agg(t, SKETCH_BITS).alias(f"sketch_{i}") for i, t in enumerate(text)),
+    )
+
+
+def summary_of_sketches(sketches: DataFrame, schema: T.StructType) -> DataFrame:
+    """`data_quality_summary` from stored `column_sketches` of rows with `schema`; known values are
+    counted with a standard error of 1.6 %."""
+    fields = schema.fields
+    numbers = range(len(fields))
+    wide = sketches.agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
+        *(F.coalesce(F.sum(f"missing_{i}"), F.lit(0)).alias(f"missing_{i}") for i in numbers),
+        *(F.hll_union_agg(f"sketch_{i}").alias(f"sketch_{i}") for i in numbers),
+    )
+    counted = {
+        f"unique_{i}": F.coalesce(F.hll_sketch_estimate(f"sketch_{i}"), F.lit(0)) for i in numbers
+    }
+    return _summary_rows(wide.withColumns(counted), fields)

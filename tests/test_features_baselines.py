@@ -145,3 +145,20 @@ def test_baseline_metrics(sales):
     common = by_key(B.baseline_metrics(B.add_baselines(sales), common_rows=True), "baseline", "metric")
     assert common[("seasonal_naive_28", "mae")] == got[("seasonal_naive_28", "mae")]
     assert B.best_baseline(table).first()["baseline"] == "naive_last_value"
+
+
+def test_scores_by_fold_are_those_of_the_copied_rows(spark, sales):
+    from shelfline.operators import validation as V
+
+    rows = B.add_baselines(sales)
+    folds = V.make_time_splits(sales, "sales_date", 3, 5)
+    got = {tuple(r[:4]): r["value"] for r in B.baseline_metrics_by_fold(rows, folds).collect()}
+    assert len(got) == 3 * 2 * 6 * 6
+    copied = V.assign_folds(rows, folds).cache()
+    for split, role in ((1, "train"), (2, "valid"), (3, "valid")):
+        own = copied.where((F.col("split") == split) & (F.col("role") == role))
+        for r in B.baseline_metrics(own).collect():
+            assert got[(split, role, r["baseline"], r["metric"])] == pytest.approx(r["value"])
+    plan = B.baseline_metrics_by_fold(rows, folds)._jdf.queryExecution().optimizedPlan().toString()
+    # Rows are summed per date before anything is copied.
+    assert plan.index("Generate") < plan.rindex("Aggregate [sales_date")

@@ -84,12 +84,21 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plans_of_mart_and_sums(spark):
-    df = facts(spark, ("1", "A", "a", 1.0, NOON, 1.0, "c", "UK"))
-    mart, sums = plan_of(M.daily_sales_mart(df)), plan_of(M.daily_sums(df))
-    assert "Join" not in mart and mart.count("Exchange") == 2 and mart.count("Scan") == 1
-    assert "Sort" not in mart[mart.rindex("Exchange"):]
-    assert sums.count("Exchange") == 1 and "Sort" not in sums
+def test_readers_prune_the_mart(spark, tmp_path):
+    """A part that no selected column needs is neither joined nor read."""
+    path = str(tmp_path / "facts")
+    facts(spark, ("1", "A", "a", 1.0, NOON, 1.0, "c", "UK")).write.parquet(path)
+    df = spark.read.parquet(path)
+    mart = M.daily_sales_mart(df)
+    whole, sums = plan_of(mart), plan_of(mart.select(*M.MART_KEYS, "net_sales_qty"))
+    assert "Generate" not in whole and "Expand" not in whole and whole.count("FileScan") == 4
+    assert sums.count("Exchange") == 1 and "Sort" not in sums and "Join" not in sums
+    assert sums.count("FileScan") == 1
+    read = sums[sums.index("ReadSchema"):]
+    assert not any(name in read for name in ("invoice:", "customer_id", "description"))
+    invoices = plan_of(mart.select(*M.MART_KEYS, "invoices_cnt"))
+    assert invoices.count("FileScan") == 2 and "customer_id" not in invoices
+    assert plan_of(M.daily_sums(df)).count("Exchange") == 1
 
 
 def test_sums_are_the_marts(spark):

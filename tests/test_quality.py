@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,10 +103,40 @@ def test_empty_input(spark):
     assert len(report) == 7 and report[2]["metric"]["duplicates_share"] == 0.0
 
 
-def test_report_reads_its_input_once(spark, tmp_path):
-    frame(spark).write.parquet(str(tmp_path / "t"))
-    plan = Q.run_all_data_checks(spark.read.parquet(str(tmp_path / "t")))
-    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicates_shuffle_signatures_alone(spark, tmp_path, monkeypatch):
+    """Rows cross the network as two hashes and a count; whole rows only where those repeat."""
+    frame(spark, [*GOOD, GOOD[0]]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    seen = []
+    monkeypatch.setattr(Q, "hand_over", lambda d, stem: seen.append(executed(d)) or d)
+    report = Q.run_all_data_checks(df)
+    exchange = re.search(r"Exchange hashpartitioning\((.*?)\), ENSURE", seen[0]).group(1)
+    assert re.sub(r"#\d+L?", "", exchange) == "_signature_1, _signature_2, 4"
+    assert report.where("check = 'duplicate_transaction_rows'").first()["metric"]["duplicates_count"] == 1
+    # Beside the repeated rows, every exchange is of sums or signatures.
+    assert "BroadcastHashJoin" in executed(Q.repeated_rows(df))
+
+
+def test_equal_signatures_of_unlike_rows(spark, monkeypatch):
+    data = [*GOOD, GOOD[0], (None,) * 8, (None,) * 8, (None,) * 7 + ("x",), ("x",) + (None,) * 7]
+    expected = only(Q.check_duplicate_rows(frame(spark, data)))
+    assert expected["metric"]["duplicates_count"] == 2
+    constant = [F.lit(1).cast("bigint").alias(n) for n in Q.SIGNATURE]
+    for limit in (0, 10):
+        monkeypatch.setattr(Q, "BROADCAST_SIGNATURES", limit)
+        assert only(Q.check_duplicate_rows(frame(spark, data))) == expected
+        with monkeypatch.context() as patch:
+            patch.setattr(Q, "row_signature", lambda df: constant)
+            assert only(Q.check_duplicate_rows(frame(spark, data))) == expected
+
+
+def test_signatures_take_equal_numbers_as_equal(spark):
+    df = spark.createDataFrame([(0.0, 1), (-0.0, 1), (float("nan"), 2), (float("nan"), 2)], "x double, y int")
+    assert sorted(r["_rows"] for r in Q.repeated_rows(df).collect()) == [2, 2]
 
 
 def test_summary(spark):
@@ -114,3 +146,20 @@ def test_summary(spark):
                         "missing_share": 0.666667, "unique_count": 1}
     assert got["y"]["unique_count"] == 1
     assert Q.data_quality_summary(df, approx=True).agg(F.sum("unique_count")).first()[0] == 2
+    assert "Expand" not in executed(Q.data_quality_summary(df))
+
+
+def test_daily_sketches_merge_to_the_summary(spark):
+    df = spark.range(40_000).selectExpr(
+        "id % 30 AS day", "id % 9000 AS a", "IF(id % 4 = 0, NULL, CAST(id AS STRING)) AS b", "CAST(NULL AS INT) AS c"
+    )
+    sketches = Q.column_sketches(df, [F.col("day").alias("of")])
+    assert sketches.count() == 30 and "Expand" not in executed(sketches)
+    exact = {r["column"]: r.asDict() for r in Q.data_quality_summary(df).collect()}
+    got = {r["column"]: r.asDict() for r in Q.summary_of_sketches(sketches, df.schema).collect()}
+    for name, row in exact.items():
+        assert got[name]["unique_count"] == pytest.approx(row.pop("unique_count"), rel=0.05)
+        assert row.items() <= got[name].items()
+    few = Q.summary_of_sketches(sketches.where("of < 3"), df.schema).where("column = 'day'").first()
+    assert few["unique_count"] == 3
+    assert Q.summary_of_sketches(sketches.where("of > 99"), df.schema).count() == 4
