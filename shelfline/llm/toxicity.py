@@ -2,8 +2,9 @@
 
 Terms are a text's distinct words and their first 4, 5 and 6 bytes.  Single terms have additive
 weights; pairs of terms interact through the product of their factors, so that an insult beside
-a group's mention can weigh more than the two apart.  Weights that a lasso leaves at zero take no
-part and have no factors.
+a group's mention can weigh more than the two apart.  Additive weights are chosen by a lasso.
+Factors are chosen apart from them, by what they would add to: the pair sums of the additive part's
+errors, over all terms of the sample, so that two terms that mean nothing alone can meet.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ SAMPLE_ROWS = 3000  # labelled rows per class that the model is fitted on, at mo
 TOXIC_FROM = 0.7
 LASSO = 6e-4
 LEAST_ROWS = 3  # sample rows a term must occur in
+START = 0.5  # largest factor before the fit
+SHRINK = 4e-3  # of a term's factors, per step
+PAIRED_TERMS = 1000  # beside the lasso's that get factors, those that the pair sums load most
 
 _SHIFT = np.uint64(64 - BITS)
 
@@ -108,13 +112,60 @@ def machine(
     return out
 
 
+def pair_directions(
+    sample: Sample, error: np.ndarray, size: int, rounds: int = 15
+) -> tuple[np.ndarray, np.ndarray]:
+    """(values, one column per value) of the leading directions of the pair sums.
+
+    A pair's sum is the error of the rows that hold both terms, over the root of the terms' numbers
+    of rows.  The matrix of all pairs is never made: a product with it is two passes over the
+    sample's entries.
+    """
+    row, index, rows = sample.row, sample.index, len(sample.label)
+    many = np.bincount(index, minlength=size)
+    scale = 1 / np.sqrt(np.maximum(many, 1))
+    own = np.bincount(index, error[row], size)
+
+    def product(v: np.ndarray) -> np.ndarray:
+        v = v * scale
+        both = np.bincount(index, (error * np.bincount(row, v[index], rows))[row], size)
+        return scale * (both - own * v)
+
+    start = np.random.Generator(np.random.PCG64(7)).normal(size=(size, 2 * FACTORS))
+    basis = np.linalg.qr(start)[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(np.stack([product(v) for v in basis.T], axis=1))[0]
+    inner = basis.T @ np.stack([product(v) for v in basis.T], axis=1)
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    best = np.argsort(-values)[:FACTORS]
+    return values[best], basis @ vectors[:, best]
+
+
+def pair_loadings(sample: Sample, error: np.ndarray, size: int, rounds: int = 15) -> np.ndarray:
+    """How much each term takes part in the leading directions, one column each, 1 at most.
+
+    Only positive directions count: products of factors have no others."""
+    if size < 2 * FACTORS:
+        return np.zeros((size, FACTORS))
+    values, vectors = pair_directions(sample, error, size, rounds)
+    loaded = vectors * np.maximum(values, 0)
+    return loaded / max(np.abs(loaded).max(), 1e-12)
+
+
 def fit_factors(
-    sample: Sample, weights: np.ndarray, bias: float, steps: int, rate: float, l2: float
+    sample: Sample,
+    weights: np.ndarray,
+    bias: float,
+    factors: np.ndarray,
+    steps: int,
+    rate: float,
+    l2: float,
+    l1: float = 0.0,
 ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Refine the additive weights and fit the factors, from small fixed random ones."""
+    """Refine the additive weights and the factors; `l1` shrinks a term's factors together, and a
+    term that is shrunk to nothing has none."""
     size, rows = len(weights), len(sample.label)
-    factors = np.random.Generator(np.random.PCG64(11)).normal(0, 0.05, (size, FACTORS))
-    weights, offset = weights.copy(), np.array([bias])
+    weights, factors, offset = weights.copy(), factors.copy(), np.array([bias])
     adam, row, index = Adam(rate), sample.row, sample.index
     total = max(sample.weight.sum(), 1e-9)
     for adam.steps in range(1, steps + 1):
@@ -127,12 +178,16 @@ def fit_factors(
             pull[:, k] = np.bincount(index, spread * others, size)
         adam.step("weights", weights, np.bincount(index, spread, size) + l2 * weights)
         adam.step("factors", factors, pull + l2 * factors)
+        if l1:
+            length = np.sqrt((factors**2).sum(axis=1, keepdims=True))
+            factors *= np.maximum(1 - l1 / np.maximum(length, 1e-12), 0)
         adam.step("bias", offset, np.array([error.sum()]))
     return weights, factors, float(offset[0])
 
 
 def fit_toxicity(sample: Sample) -> ToxicityModel:
-    """Lasso for the terms that matter, factors on those, calibration on a fifth held out.
+    """Lasso for the terms that matter alone, pair sums for those that matter together, factors on
+    both, calibration on a fifth held out.
 
     Without rows of both classes the score is the share of toxic rows."""
     row = np.full(1 << BITS, -1, np.int64)
@@ -148,16 +203,46 @@ def fit_toxicity(sample: Sample) -> ToxicityModel:
     frequent = np.flatnonzero(np.bincount(rest.index, minlength=1 << BITS) >= LEAST_ROWS)
     rest = only(rest, frequent)
     weights, bias = fit_logistic(rest, len(frequent), steps=120, rate=0.1, l1=LASSO)
-    kept = np.flatnonzero(weights)
-    rest = only(rest, kept)
-    weights, factors, bias = fit_factors(rest, weights[kept], bias, steps=80, rate=0.02, l2=3e-4)
-    row[frequent[kept]] = np.arange(len(kept))
+    score = np.bincount(rest.row, weights[rest.index], len(rest.label)) + bias
+    error = rest.weight * (rest.label - sigmoid(score))
+    loadings = pair_loadings(rest, error, len(frequent))
+    strength = np.abs(loadings).max(axis=1, initial=0)
+    paired = np.argsort(-strength, kind="stable")[:PAIRED_TERMS]
+    alone = np.flatnonzero(weights)
+    best = None
+    # Chance alone loads many terms; the rows held out decide whether the pairs stay.
+    for kept in (alone, np.union1d(alone, paired[strength[paired] > 0])):
+        # The lasso's terms start with small factors of their own beside the loadings.
+        start = np.random.Generator(np.random.PCG64(11)).normal(0, 0.05, (len(kept), FACTORS))
+        start *= (weights[kept] != 0)[:, None]
+        if len(kept) > len(alone):
+            start += START * loadings[kept]
+        found, factors, offset = fit_factors(
+            only(rest, kept), weights[kept], bias, start, steps=80, rate=0.02, l2=3e-4, l1=SHRINK
+        )
+        live = (found != 0) | (factors != 0).any(axis=1)
+        model = _calibrated(sample, held, frequent[kept[live]], found[live], factors[live], offset)
+        if best is None or model[0] < best[0]:
+            best = model
+    return best[1]
+
+
+def _calibrated(
+    sample: Sample, held: np.ndarray, ids: np.ndarray, weights, factors, bias: float
+) -> tuple[float, ToxicityModel]:
+    """(log loss, model), both from the rows held out."""
+    row = np.full(1 << BITS, -1, np.int64)
+    row[ids] = np.arange(len(ids))
     known = row[sample.index] >= 0
     raw = bias + machine(
         row[sample.index[known]], sample.row[known], len(sample.label), weights, factors
     )
-    slope, shift = fit_calibration(tame(raw[held]), sample.label[held], sample.weight[held])
-    return ToxicityModel(bias, max(slope, 1e-3), shift, row, weights, factors)
+    label, weight = sample.label[held], sample.weight[held]
+    slope, shift = fit_calibration(tame(raw[held]), label, weight)
+    model = ToxicityModel(bias, max(slope, 1e-3), shift, row, weights, factors)
+    chance = sigmoid(model.slope * tame(raw[held]) + shift)
+    loss = -np.log(np.maximum(np.where(label == 1, chance, 1 - chance), 1e-12))
+    return float((weight * loss).sum()), model
 
 
 def only(sample: Sample, ids: np.ndarray) -> Sample:

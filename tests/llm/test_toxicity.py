@@ -67,6 +67,48 @@ def test_without_labels_every_score_is_low(spark):
     assert {r.predicted for r in tox.score_toxicity(docs, none).collect()} == {0}
 
 
+def neutral_pairs(rows=3000):
+    """Toxic if both of two words are there or none: neither tells anything alone."""
+    out = []
+    for n in range(rows):
+        pick, words = random.Random(n), prose(9000 + n, 25).split()
+        a, b = pick.random() < 0.5, pick.random() < 0.5
+        for there, word in ((a, "zebra"), (b, "quillon")):
+            if there:
+                words.insert(pick.randrange(25), word)
+        out.append((n, " ".join(words), int(a == b)))
+    return out
+
+
+def test_a_pair_of_neutral_terms_is_learnt(spark):
+    rows = neutral_pairs()
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    scored = tox.score_toxicity(docs, tox.train_toxicity(docs, labels)).collect()
+    label = {i: y for i, _, y in rows}
+    held = [(r.score >= 0.5) == bool(label[r.doc_id]) for r in scored if r.held_out]
+    assert len(held) > 900 and np.mean(held) > 0.9
+
+
+def test_pair_directions_are_those_of_the_whole_matrix():
+    random_ = np.random.default_rng(4)
+    held = random_.random((200, 12)) < 0.4
+    error = np.where(held[:, 3] == held[:, 7], 1.0, -1.0) + random_.normal(0, 0.1, 200)
+    bounds = np.concatenate([[0], held.sum(axis=1).cumsum()])
+    index = np.nonzero(held)[1]
+    sample = Sample(bounds, index, np.ones(len(index)), error > 0, np.ones(200))
+    found, got = tox.pair_directions(sample, error, 12, rounds=60)
+    whole = (held * error[:, None]).T.astype(float) @ held
+    np.fill_diagonal(whole, 0)
+    scale = 1 / np.sqrt(held.sum(axis=0))
+    values, vectors = np.linalg.eigh(whole * scale[:, None] * scale)
+    assert found[0] == pytest.approx(values[-1])
+    assert np.allclose(np.abs(got[:, 0]), np.abs(vectors[:, -1]), atol=1e-3)
+    loaded = tox.pair_loadings(sample, error, 12)
+    assert set(np.argsort(-np.abs(loaded[:, 0]))[:2]) == {3, 7}
+    assert np.abs(loaded).max() == 1.0
+
+
 def test_machine_and_gradients():
     """The fast sums equal the pairwise definition, and pairs that add up to nothing are learnt."""
     weights, factors = np.array([0.5, -1.0, 2.0]), np.array([[1.0, 2], [0.5, -1], [3, 0.1]])
@@ -80,6 +122,7 @@ def test_machine_and_gradients():
         np.cumsum([0, *map(len, rows)]), np.array([i for r in rows for i in r]),
         np.ones(200), label, np.ones(200),
     )
-    w, v, b = tox.fit_factors(sample, np.zeros(2), 0.0, steps=400, rate=0.05, l2=0.0)
+    small = np.random.Generator(np.random.PCG64(11)).normal(0, 0.05, (2, tox.FACTORS))
+    w, v, b = tox.fit_factors(sample, np.zeros(2), 0.0, small, steps=400, rate=0.05, l2=0.0)
     scores = b + tox.machine(sample.index, sample.row, 200, w, v)
     assert (scores[label == 1].min() > 0) and (scores[label == 0].max() < 0)
