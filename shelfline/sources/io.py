@@ -18,6 +18,7 @@ from shelfline.schema import (
     normalize_dashboard_columns,
     require_columns,
 )
+from shelfline.sources.records import broken_records
 
 # Texts that stand for a missing value in a delimited file.
 MISSING_TEXTS = [
@@ -43,39 +44,41 @@ MISSING_TEXTS = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All columns as text; quotes are doubled inside quoted fields.
+# Quotes are doubled inside quoted fields.
+CSV = {"quote": '"', "escape": '"'}
 
-    `multi_line` admits line breaks inside quotes, at the price of one task per file.
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text; quoted fields may hold line breaks.
+
+    A first pass looks for such breaks.  Files without any are read as lines, others as records that
+    many tasks cut from each file.
     """
-    rows = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("inferSchema", False)
-        .csv(path)
-    )
+    rows = spark.read.option("header", True).options(**CSV).option("inferSchema", False).csv(path)
+    records = broken_records(spark, path)
+    if records is not None:
+        names = rows.columns
+        schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+        fields = F.from_csv("record", schema, CSV)
+        rows = records.select(fields.alias("fields")).select("fields.*").toDF(*names)
     return rows.select(
         *(F.when(~rows[f"`{c}`"].isin(MISSING_TEXTS), rows[f"`{c}`"]).alias(c) for c in rows.columns)
     )
 
 
-def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+def _read(spark: SparkSession, path: str) -> DataFrame:
     name = path.rstrip("/").lower()
     if name.endswith((".csv", ".csv.gz")):
-        return read_csv(spark, path, multi_line)
+        return read_csv(spark, path)
     if name.endswith(".parquet"):
         return spark.read.parquet(path)
     raise ValueError(f"only .csv and .parquet inputs can be read: {path}")
 
 
-def read_transactions(
-    spark: SparkSession, paths: str | Iterable[str], multi_line: bool = False
-) -> DataFrame:
+def read_transactions(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """Stack the inputs under normalised names; fails when a required column is absent."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = [normalize_column_names(_read(spark, path, multi_line)) for path in paths]
+    frames = [normalize_column_names(_read(spark, path)) for path in paths]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return require_columns(stacked, TRANSACTION_COLUMNS, "transactions")
 
@@ -83,7 +86,7 @@ def read_transactions(
 def read_source(spark: SparkSession, path: str, required: Iterable[str]) -> DataFrame:
     """A forecast, segment or inventory file under the dashboard's column names."""
     return require_columns(
-        normalize_dashboard_columns(_read(spark, path, False)), required, path
+        normalize_dashboard_columns(_read(spark, path)), required, path
     )
 
 
