@@ -545,6 +545,7 @@ FEATURE_DOUBLES = (
 )
 KEYS = "sales_date, stock_code, market_id, net_sales_qty"
 oracle("mart_daily_sales", "SELECT * FROM mart", "mart", doubles=MART_DOUBLES)
+oracle("mart_refreshed", "SELECT * FROM mart", "mart", doubles=MART_DOUBLES)
 oracle("feature_view", "SELECT * FROM features", "features", doubles=f"{MART_DOUBLES} {FEATURE_DOUBLES}")
 oracle("feature_matrix", "SELECT * FROM matrix", "matrix", doubles=f"{MART_DOUBLES} {FEATURE_DOUBLES}")
 oracle(
@@ -621,13 +622,14 @@ oracle(
 
 # Answers: validation --------------------------------------------------------------------
 
-oracle(
-    "train_holdout_split",
-    f"SELECT {KEYS}, CASE WHEN sales_date < start THEN 'train' ELSE 'holdout' END AS role FROM mart, late28",
-    "mart",
-    "late28",
-    doubles="net_sales_qty",
-)
+for _name in ("train_holdout_split", "train_holdout_by_month"):
+    oracle(
+        _name,
+        f"SELECT {KEYS}, CASE WHEN sales_date < start THEN 'train' ELSE 'holdout' END AS role FROM mart, late28",
+        "mart",
+        "late28",
+        doubles="net_sales_qty",
+    )
 
 
 def folds_sql(splits: int, horizon: int, gap: int = 0) -> str:

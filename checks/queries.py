@@ -27,6 +27,7 @@ from shelfline.schema import (
     FACT_SCHEMA,
     FORECAST,
     MART_KEYS,
+    MONTH,
     SERIES_KEYS,
     TARGET,
     conform,
@@ -36,6 +37,7 @@ from shelfline.schema import (
 from shelfline.session import hand_over, scratch_path
 from shelfline.sources import fixtures as src
 from shelfline.sources import io
+from shelfline.sources.monthly import hand_over_months, refresh_mart, write_months
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,6 +237,17 @@ def mart_daily_sales(spark, folder):
     return mart(spark, folder)
 
 
+@query
+def mart_refreshed(spark, folder):
+    """The mart after late and new rows came in: only their months are computed again."""
+    facts = hand_over(fact(spark, folder), "facts")
+    late = F.col(DATE).between("1995-03-10", "1995-03-20") | (F.col(DATE) >= "1998-05-01")
+    late = F.coalesce(late, F.lit(False))
+    facts_path, mart_path = scratch_path(spark, "facts"), scratch_path(spark, "mart")
+    write_months(M.daily_sales_mart(write_months(facts.where(~late), facts_path)), mart_path)
+    return refresh_mart(spark, facts_path, mart_path, facts.where(late)).drop(MONTH)
+
+
 # Features -------------------------------------------------------------------------------
 
 
@@ -358,6 +371,15 @@ def train_holdout_split(spark, folder):
     return V.label_holdout(sales_table(spark, folder).select(*MART_KEYS, TARGET), DATE, 28)
 
 
+@query
+def train_holdout_by_month(spark, folder):
+    """The split of a table stored by month: its cutoff, found at run time, prunes folders."""
+    stored = hand_over_months(sales_table(spark, folder).select(*MART_KEYS, TARGET), "sales-by-month")
+    sides = dict(zip(("train", "holdout"), V.train_holdout_split(stored, DATE, 28)))
+    train, holdout = (df.drop(MONTH).withColumn("role", F.lit(role)) for role, df in sides.items())
+    return train.unionByName(holdout)
+
+
 @query
 def make_time_splits(spark, folder):
     return V.make_time_splits(mart_days(spark, folder), DATE, 3, 28)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.columns import number
 from shelfline.functions.metrics import forecast_bias, mae, rmse, wmape
+from shelfline.operators.validation import between_days
 from shelfline.schema import (
     DASHBOARD_COLUMNS,
     DATE,
@@ -145,7 +146,7 @@ def filter_dashboard(
 ) -> DataFrame:
     """Rows inside every given filter; plain predicates, so they push down to the scan."""
     if period:
-        dashboard = dashboard.where(F.col(DATE).between(*period))
+        dashboard = dashboard.where(between_days(dashboard, *period))
     chosen = {"market_id": markets, "stock_code": products, "abc_segment": abc, "xyz_segment": xyz}
     for name, values in chosen.items():
         if values:

@@ -9,13 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.schema import DATE, require_columns
+from shelfline.schema import DATE, MONTH, require_columns
 
 
 def _day(date_column: str) -> Column:
     return F.to_date(F.col(date_column))
 
 
+def from_day(df: DataFrame, start: Column, date_column: str = DATE) -> Column:
+    """Rows of `start` or later; a table stored by month is pruned by its folders as well."""
+    late = _day(date_column) >= start
+    return late & (F.col(MONTH) >= F.trunc(start, "month")) if MONTH in df.columns else late
+
+
+def before_day(df: DataFrame, end: Column, date_column: str = DATE) -> Column:
+    early = _day(date_column) < end
+    return early & (F.col(MONTH) <= F.trunc(end, "month")) if MONTH in df.columns else early
+
+
+def between_days(df: DataFrame, first, last, date_column: str = DATE) -> Column:
+    """Rows of two days and those between them."""
+    within = _day(date_column).between(first, last)
+    if MONTH not in df.columns:
+        return within
+    first, last = F.lit(first).cast("date"), F.lit(last).cast("date")
+    return within & F.col(MONTH).between(F.trunc(first, "month"), F.trunc(last, "month"))
+
+
 def _distinct_days(df: DataFrame, date_column: str) -> DataFrame:
     require_columns(df, [date_column], "validation input")
     days = df.select(_day(date_column).alias("day"))
@@ -56,7 +76,10 @@ def train_holdout_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, holdout): the latest `holdout_days` observed dates are held out."""
     start = holdout_start(df, date_column, holdout_days)
-    return df.where(_day(date_column) < start), df.where(_day(date_column) >= start)
+    return (
+        df.where(before_day(df, start, date_column)),
+        df.where(from_day(df, start, date_column)),
+    )
 
 
 def make_time_splits(
@@ -95,10 +118,9 @@ def make_time_series_folds(
 def split_by_fold(df: DataFrame, fold, date_column: str = DATE) -> tuple[DataFrame, DataFrame]:
     """(train, valid) for one fold given as a Row or dict."""
     require_columns(df, [date_column], "validation input")
-    day = _day(date_column)
-    return (
-        df.where(day.between(fold["train_start"], fold["train_end"])),
-        df.where(day.between(fold["valid_start"], fold["valid_end"])),
+    return tuple(
+        df.where(between_days(df, fold[f"{role}_start"], fold[f"{role}_end"], date_column))
+        for role in ("train", "valid")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 SERIES_KEYS = ["stock_code", "market_id"]
 DATE = "sales_date"
+MONTH = "sales_month"  # first day of the month, in tables stored by month
 TARGET = "net_sales_qty"
 FORECAST = "forecast_net_sales_qty"
 MART_KEYS = [DATE, *SERIES_KEYS]
