@@ -3,7 +3,8 @@
 The index holds a posting (document, term, place) for every word of a document that some
 benchmark item uses.  A window of consecutive item words is looked up from its rarest term on:
 that term's postings, moved back by its offset, are possible starts; the next rarest term's
-postings thin them out; the other terms confirm what is left.
+postings thin them out; the other terms confirm what is left.  Proximity matches are found the same
+way, with each term allowed some words beside its place.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from shelfline.session import hand_over
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 10
+SLOP = 2  # words that a term of a proximity match may be off its place
 
 # A row by hashes of key and text and of the text alone: never NULL, and equal for equal rows.
 ROW = ["row_key", "copy"]
@@ -98,10 +100,14 @@ def build_index(documents: DataFrame, vocabulary: DataFrame, words: int) -> Data
 
 
 def rank_terms(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Add `rank`, 1 for a window's rarest place; windows with a term that no document has are
-    left out."""
-    counts = postings.where(F.col("term").isNotNull()).groupBy("term").agg(
-        F.count(F.lit(1)).alias("occurrences")
+    """Add `rank`, 1 for a window's rarest place, the first of equal ones; windows with a term that
+    no document has are left out."""
+    # Broadcast if small: a common term's windows would meet in one task.
+    counts = stored_small(
+        postings.where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("occurrences")),
+        "occurrences",
     )
     whole = Window.partitionBy("window")
     return (
@@ -109,7 +115,7 @@ def rank_terms(terms: DataFrame, postings: DataFrame) -> DataFrame:
         .withColumn("_found", F.count(F.lit(1)).over(whole))
         .where(F.col("_found") == F.col("size"))
         .withColumn(
-            "rank", F.row_number().over(whole.orderBy("occurrences", "term", "offset"))
+            "rank", F.row_number().over(whole.orderBy("occurrences", "offset"))
         )
         .select("window", "size", "offset", "term", "rank")
     )
@@ -166,28 +172,54 @@ def find_phrases(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
 def find_near(postings: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
     """(row, window, start) where every term of a window stands within `slop` words of
-    its place, counted from the rarest term: the proximity form of `find_phrases`."""
+    its place, counted from the rarest term: the proximity form of `find_phrases`.
+
+    Candidates come from the rarest term and are thinned out by the next rarest one; only what is
+    left is looked up in full.
+    """
     rows = terms.count()
     listed = postings.select(*ROW, "term", "place").where(F.col("term").isNotNull())
-    rarest = terms.where("rank = 1").select("window", "offset", "term")
+    # One row per place that would do, so the joins stay equalities.
+    at = F.col("start") + F.col("offset")
+    spots = F.explode(F.sequence(at - slop, at + slop))
+
+    def met(candidates: DataFrame, needed: DataFrame, places: DataFrame) -> DataFrame:
+        """The candidates with each of their needed terms that stands near its place."""
+        return (
+            candidates.join(small(needed, rows), "window")
+            .withColumn("place", spots)
+            .join(places, [*ROW, "term", "place"], "left_semi")
+            .select(*ROW, "window", "start", "rank")
+            .distinct()
+        )
+
+    terms = terms.select("window", "offset", "term", "rank")
+    rarest = terms.where("rank = 1").drop("rank")
     candidates = (
         listed.join(small(rarest, rows), "term")
         .withColumn("start", F.col("place") - F.col("offset"))
         .select(*ROW, "window", "start")
         .distinct()
     )
-    # One row per place that would do, so the join stays an equality.
-    spots = F.explode(
-        F.sequence(F.col("start") + F.col("offset") - slop, F.col("start") + F.col("offset") + slop)
-    )
-    needed = candidates.join(small(terms, rows), "window").withColumn("place", spots)
-    return (
-        needed.join(listed.distinct(), [*ROW, "term", "place"])
-        .groupBy(*ROW, "window", "start", "size")
-        .agg(F.count_distinct("offset").alias("found"))
-        .where("found = size")
+    sizes = terms.groupBy("window").agg(F.max("rank").alias("wanted"))
+    single = candidates.join(small(sizes.where("wanted = 1"), rows), "window", "left_semi")
+    second = terms.where("rank = 2")
+    used = second.select("term").distinct()
+    thinned = met(candidates, second, listed.join(small(used, rows), "term", "left_semi"))
+    left = hand_over(thinned.drop("rank"), "near-candidates")
+    owners = stored_small(left.select(*ROW).distinct(), "near-owners")
+    there = listed.join(owners, ROW, "left_semi")
+    complete = (
+        met(left, terms.where("rank > 2"), there)
+        .groupBy(*ROW, "window", "start")
+        .agg((F.count(F.lit(1)) + 2).alias("found"))
+        .join(small(sizes, rows), "window")
+        .where("found = wanted")
         .select(*ROW, "window", "start")
     )
+    pairs = left.join(small(sizes.where("wanted = 2"), rows), "window", "left_semi")
+    names = [*ROW, "window", "start"]
+    return complete.unionByName(pairs.select(*names)).unionByName(single.select(*names))
 
 
 def covered_words(matches: DataFrame) -> DataFrame:
@@ -206,9 +238,11 @@ def covered_words(matches: DataFrame) -> DataFrame:
 
 
 def find_contamination(
-    documents: DataFrame, benchmark: DataFrame, length: int = WINDOW
+    documents: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int | None = SLOP
 ) -> DataFrame:
-    """doc_id, its hashes, n_words, n_hit, n_items, items_sha256 and contaminated of every row.
+    """doc_id, its hashes, n_words, n_hit, n_items, items_sha256, contaminated and, unless `slop` is
+    None, n_near of every row: the distinct windows whose terms all stand within `slop` words of
+    their places, counted from the rarest, exact occurrences included.
 
     A NULL or empty text has no words, no hits and the digest of the empty list.  Repeated rows
     each give a row; items that repeat count once; an empty benchmark hits nothing; other columns
@@ -230,6 +264,12 @@ def find_contamination(
     )
     hits = covered_words(listed.select(*ROW, "window", "start", "size").distinct())
     rows = postings.where(F.col("n_words").isNotNull()).select("doc_id", *ROW, "n_words")
+    near = []
+    if slop is not None:
+        windows_near = find_near(postings, ranked, slop).select(*ROW, "window").distinct()
+        counted = windows_near.groupBy(*ROW).agg(F.count(F.lit(1)).alias("near"))
+        rows = rows.join(counted, ROW, "left")
+        near = [F.coalesce("near", F.lit(0)).alias("n_near")]
     return rows.join(items.join(hits, ROW), ROW, "left").select(
         "doc_id",
         *ROW,
@@ -240,12 +280,13 @@ def find_contamination(
             "items_sha256"
         ),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *near,
     )
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with their own columns."""
-    found = find_contamination(documents, benchmark).where("contaminated")
+    found = find_contamination(documents, benchmark, slop=None).where("contaminated")
     hashed = documents.withColumns(
         dict(zip(("_row_key", "_copy"), row_hashes(F.coalesce("text", F.lit("")))))
     )

@@ -31,12 +31,31 @@ WITH document_words AS (
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
-)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM document_words
+), terms AS (
+  SELECT run, unnest(w) AS word, unnest(range(size)) AS spot, size
+  FROM (SELECT DISTINCT size, array_to_string(w[i:i + size - 1], ' ') AS run, w[i:i + size - 1] AS w
+        FROM starts)
+), ranked AS (
+  SELECT t.*, row_number() OVER (PARTITION BY run ORDER BY c, spot) AS rank,
+         count(*) OVER (PARTITION BY run) AS known
+  FROM terms t JOIN (SELECT word, count(*) AS c FROM words GROUP BY word) USING (word)
+), candidates AS (
+  SELECT DISTINCT doc_id, run, place - spot AS start
+  FROM ranked JOIN words USING (word) WHERE rank = 1 AND known = size
+), beside AS (
+  SELECT c.doc_id, c.run, c.start
+  FROM candidates c JOIN ranked r ON r.run = c.run
+  JOIN words p ON p.doc_id = c.doc_id AND p.word = r.word
+    AND p.place BETWEEN c.start + r.spot - 2 AND c.start + r.spot + 2
+  GROUP BY c.doc_id, c.run, c.start, r.size HAVING count(DISTINCT r.spot) = r.size
+), near AS (SELECT doc_id, count(DISTINCT run) AS n_near FROM beside GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
 FROM document_words d LEFT JOIN hits h ON h.doc_id = d.doc_id
-LEFT JOIN items i ON i.doc_id = d.doc_id
+LEFT JOIN items i ON i.doc_id = d.doc_id LEFT JOIN near n ON n.doc_id = d.doc_id
 """
 
 JACCARD = rf"""

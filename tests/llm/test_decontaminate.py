@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import pytest
 
@@ -33,10 +34,38 @@ def plain(rows, items):
     return ordered(out)
 
 
+def plain_near(rows, items, slop=2):
+    """(doc_id, windows in proximity) of every row, from the rarest place of each window."""
+    texts = [(doc_id, words(text)) for doc_id, text in rows]
+    uses = Counter(word for _, w in texts for word in w)
+    windows = {
+        tuple(w[i : i + 10]) for w in (words(t) for _, t in items) for i in range(max(1, len(w) - 9) if w else 0)
+    }
+    out = []
+    for doc_id, w in texts:
+        near = 0
+        for window in windows:
+            if not all(uses[word] for word in window):
+                continue
+            rarest = min(range(len(window)), key=lambda o: (uses[window[o]], o))
+            starts = [p - rarest for p, word in enumerate(w) if word == window[rarest]]
+            near += any(
+                all(word in w[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, word in enumerate(window))
+                for s in starts
+            )
+        out.append((doc_id, near))
+    return ordered(out)
+
+
 ITEMS = [(1, prose(900, 14)), (2, prose(901, 25)), (3, "Lone-word"), (4, None), (5, "..."), (6, "two words"),
          (7, prose(902, 10)), (8, prose(900, 14)), (10, "a a a a a a a a a a a"), (11, "Éa x")]
 
 
+def with_word(text, at, word):
+    w = text.split()
+    return " ".join([*w[:at], word, *w[at:]])
+
+
 def corpus():
     extra = [
         (50, prose(5, 20) + " " + prose(900, 14).upper() + "! " + prose(6, 9)),
@@ -47,6 +76,9 @@ def corpus():
         (55, " ".join(prose(902, 10).split()[:9])),
         (56, "Éa X éa x ÉA x"),
         (57, prose(902, 10) + " " + prose(902, 10)),
+        (58, with_word(prose(900, 14), 7, "moreover")),
+        (59, with_word(with_word(prose(901, 25), 7, "and so"), 20, "on it goes")),
+        (60, " ".join(reversed(prose(902, 10).split()))),
     ]
     return odd_texts() + extra + extra[:2]
 
@@ -58,8 +90,12 @@ def bench(spark, items):
 def test_equals_brute_force(spark):
     rows = corpus()
     docs = frame(spark, rows).drop(*["n_words"])
-    got = dc.find_contamination(docs, bench(spark, ITEMS))
+    got = dc.find_contamination(docs, bench(spark, ITEMS)).cache()
     assert tuples(got, *NAMES) == plain(rows, ITEMS)
+    near = plain_near(rows, ITEMS)
+    assert tuples(got, "doc_id", "n_near") == near
+    # Found by proximity alone: passages with a word put in.
+    assert {i for i, n in near if n} - {r[0] for r in plain(rows, ITEMS) if r[-1]} >= {58}
 
 
 @pytest.mark.parametrize("items", [[], [(4, None), (5, "")]])
