@@ -96,9 +96,10 @@ def labelled_sample(
         F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id"
     )
     texts = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     found = (
         texts.select("doc_id", "label", "text")
-        .mapInArrow(_featurize(features, lower), "doc_id bigint, label int, ids binary, vals binary")
+        .mapInArrow(_featurize(features, lower), f"doc_id {kind}, label int, ids binary, vals binary")
         .toArrow()
         .sort_by("doc_id")
     )

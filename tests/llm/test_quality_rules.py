@@ -64,3 +64,17 @@ def test_bytes_do_not_run_over_documents(spark):
     docs = frame(spark, [(n, t) for n, t in enumerate(["ab", "", "cdefg", "x"])])
     labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id bigint, quality int")
     assert rules.train_quality(docs, labels).weights.shape == (rules.FAMILIES << rules.BITS,)
+
+
+def test_text_keys(spark):
+    """Keys of any type: the rows are judged as with numbers."""
+    docs = frame(spark, rows_with_junk(), clash=False)
+    labels = spark.createDataFrame(
+        [(n, int(n < 160)) for n in range(100, 220, 2)], "doc_id bigint, quality int"
+    )
+    named = "concat('k', doc_id) AS doc_id"
+    model = rules.train_quality(
+        docs.selectExpr(named, "text"), labels.selectExpr(named, "quality")
+    )
+    kept = {r.doc_id for r in rules.filter_quality(docs.selectExpr(named, "text"), model).collect()}
+    assert {f"k{n}" for n in range(100, 160)} <= kept and not kept & {f"k{n}" for n in range(160, 220)}

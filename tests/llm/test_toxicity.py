@@ -61,6 +61,15 @@ def test_odd_rows(spark, model):
     assert tox.score_toxicity(empty(spark), model).count() == 0
 
 
+def test_text_keys(spark):
+    rows = corpus(300)
+    docs = frame(spark, [(i, t) for i, t, _ in rows]).selectExpr("concat('k', doc_id) AS doc_id", "text")
+    labels = spark.createDataFrame([(f"k{i}", y) for i, _, y in rows], "doc_id string, toxic int")
+    scored = tox.score_toxicity(docs, tox.train_toxicity(docs, labels)).collect()
+    toxic = {f"k{i}": y for i, _, y in rows}
+    assert np.mean([(r.score >= 0.7) == toxic[r.doc_id] for r in scored]) > 0.9
+
+
 def test_without_labels_every_score_is_low(spark):
     docs = frame(spark, odd_texts())
     none = tox.train_toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
