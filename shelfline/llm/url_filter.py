@@ -68,35 +68,89 @@ def path_shape(path: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(path, r"[0-9]+", DIGITS), "/"), lambda s: s != "")
 
 
+def _wild(segments: Column) -> Column:
+    return F.transform(segments, lambda s: F.when(s == DIGITS, s).otherwise(F.lit(WILD)))
+
+
+def _common(low: Column, high: Column) -> Column:
+    """Number of leading segments that the smallest and largest list share, and so all between."""
+    unlike = F.transform(
+        F.zip_with(low, high, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: ~x
+    )
+    first = F.array_position(unlike, True)
+    return F.when(first == 0, F.size(low)).otherwise(first - 1).cast("int")
+
+
+def _chain_ends(rows: DataFrame, node: list[str], least: int) -> DataFrame:
+    """(node, _deep): of nodes whose lists are all heads of one list, how many segments `least`
+    pages or more still have."""
+    head = F.col("_left") == F.slice("_high", F.lit(1), F.size("_left"))
+    sizes = rows.groupBy(*node, F.size("_left").alias("_size")).agg(
+        F.sum("pages").alias("_pages"), F.bool_and(head).alias("_heads")
+    )
+    longer = Window.partitionBy(*node).orderBy(F.desc("_size"))
+    deep = F.when(F.sum("_pages").over(longer) >= least, F.col("_size"))
+    return (
+        sizes.withColumn("_deep", deep)
+        .groupBy(*node)
+        .agg(F.bool_and("_heads").alias("_heads"), F.coalesce(F.max("_deep"), F.lit(0)).alias("_deep"))
+        .where("_heads")
+        .drop("_heads")
+    )
+
+
 def template_tree(
     shapes: DataFrame, share: float, least: int, least_labels: int
 ) -> DataFrame:
-    """Add `template` to (host, shape, pages, labelled, ...): level by level, a child with `least`
+    """Add `template` to (host, shape, pages, labelled, ...): node by node, a child with `least`
     pages stays itself if it has the `share` of its node's pages or `least_labels` labels, which is
     evidence that does not shrink with the host; otherwise it joins the node's wildcard.
 
-    A node keeps at most 1 / share children without enough labels.  Levels follow until no shape
-    has a further segment.  What lies below a node of one shape or of fewer than `least` pages is
-    known at once: all children stay, or none does."""
+    A node keeps at most 1 / share children without enough labels.  What lies below a node of one
+    shape or of fewer than `least` pages is known at once: all children stay, or none does.  So is
+    what all shapes of a node share, whatever its length, and what lies below a node whose shapes
+    are all heads of one.  Rounds therefore follow the branchings of a path, not its segments."""
+    node = ["host", "template"]
     level = shapes.withColumn("template", F.array().cast("array<string>"))
-    names, at = level.columns, 0
+    names = level.columns
     done, level = [level.where(F.size("shape") == 0)], level.where(F.size("shape") > 0)
     while True:
-        node = ["host", "template"]
+        level = level.withColumn(
+            "_left", F.slice("shape", F.size("template") + 1, F.size("shape"))
+        )
         nodes = level.groupBy(*node).agg(
-            F.sum("pages").alias("_total"), F.count(F.lit(1)).alias("_shapes")
+            F.sum("pages").alias("_total"),
+            F.count(F.lit(1)).alias("_shapes"),
+            F.min("_left").alias("_low"),
+            F.max("_left").alias("_high"),
         )
+        nodes = nodes.withColumn("_skip", _common(F.col("_low"), F.col("_high")))
+        # The smallest list is the shared head itself if some shape ends with it.
+        nodes = nodes.withColumn("_ends", F.size("_low") == F.col("_skip")).drop("_low")
         level = level.join(hand_over(nodes, "url-nodes"), node)
-        left = F.slice("shape", at + 1, F.size("shape"))
-        wild = F.transform(left, lambda s: F.when(s == DIGITS, s).otherwise(F.lit(WILD)))
-        rest = F.when(F.col("_total") < least, wild).when(F.col("_shapes") == 1, left)
+        level = level.join(_chain_ends(level.where("_ends"), node, least), node, "left")
+        left = F.col("_left")
+        chain = F.concat(
+            F.slice(left, F.lit(1), F.col("_deep")),
+            _wild(F.slice(left, F.col("_deep") + 1, F.size(left))),
+        )
+        rest = (
+            F.when(F.col("_total") < least, _wild(left))
+            .when(F.col("_shapes") == 1, left)
+            .when(F.col("_deep").isNotNull(), chain)
+            .when(F.size(left) == F.col("_skip"), left)
+        )
         level = hand_over(level.withColumn("_rest", rest), "url-level")
         over = level.where(F.col("_rest").isNotNull())
         done.append(over.withColumn("template", F.concat("template", "_rest")).select(*names))
-        level = level.where(F.col("_rest").isNull())
+        level = level.where(F.col("_rest").isNull()).withColumn(
+            "template", F.concat("template", F.slice("_left", F.lit(1), F.col("_skip")))
+        )
         if level.isEmpty():
             break
-        level = level.withColumn("_part", F.get(F.col("shape"), F.lit(at)))
+        # What ends here is no page of the node that goes on: that one is looked at anew.
+        waiting = level.where("_ends").select(*names)
+        level = level.where("NOT _ends").withColumn("_part", F.get("_left", F.col("_skip")))
         children = level.groupBy(*node, "_part").agg(
             F.sum("pages").alias("_pages"),
             F.sum("labelled").alias("_labelled"),
@@ -116,11 +170,10 @@ def template_tree(
             .withColumn("template", F.concat("template", F.array(named.otherwise(F.lit(WILD)))))
             .select(*names)
         )
-        # What ends here is no page of the next level's nodes.
-        ending = F.size("shape") <= at + 1
-        level = hand_over(level, "url-grown")
+        level = hand_over(level.unionByName(waiting), "url-grown")
+        ending = F.size("shape") <= F.size("template")
         done.append(level.where(ending))
-        level, at = level.where(~ending), at + 1
+        level = level.where(~ending)
     out = done[0]
     for other in done[1:]:
         out = out.unionByName(other)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from collections import defaultdict
+
 import pytest
 
 from shelfline.llm import url_filter as urls
@@ -93,6 +96,74 @@ def test_deep_branches_are_judged_by_themselves(spark):
     assert got[1].template == f"/{deep}/casino/#" and got[91].template == "/*/*/*/*/*/*"
 
 
+def plain_tree(shapes, share, least, least_labels):
+    """Templates of (host, shape, pages, labelled) rows, level by level."""
+    out = {}
+
+    def grow(rows, at, template):
+        for host, shape, *_ in (r for r in rows if len(r[1]) == at):
+            out[host, shape] = template
+        rows = [r for r in rows if len(r[1]) > at]
+        total = sum(r[2] for r in rows)
+        if total < least or len(rows) == 1:
+            for host, shape, *_ in rows:
+                left = shape[at:] if total >= least else tuple(s if s == "#" else "*" for s in shape[at:])
+                out[host, shape] = template + left
+            return
+        children = defaultdict(list)
+        for r in rows:
+            children[r[1][at]].append(r)
+        groups = defaultdict(list)
+        for part, own in children.items():
+            pages, labelled = sum(r[2] for r in own), sum(r[3] for r in own)
+            stays = part == "#" or pages >= least and (pages >= share * total or labelled >= least_labels)
+            groups[part if stays else "*"] += own
+        for part, own in groups.items():
+            grow(own, at + 1, (*template, part))
+
+    for host in {r[0] for r in shapes}:
+        grow([r for r in shapes if r[0] == host], 0, ())
+    return out
+
+
+def tree_cases():
+    pick = random.Random(11)
+    shapes = {}
+    for host in "abcd":
+        for _ in range(120):
+            shape = tuple(pick.choice("xxxyz#") for _ in range(pick.randrange(0, 9)))
+            if host == "b":
+                shape = ("p", "q", "r", *shape)
+            if host == "c":  # a chain with an end at every level
+                shape = ("k",) * pick.randrange(1, 30)
+            shapes[host, shape] = (pick.randrange(1, 6), pick.randrange(0, 4))
+    return [(host, shape, pages, labelled) for (host, shape), (pages, labelled) in shapes.items()]
+
+
+@pytest.mark.parametrize("share,least,labels", [(0.05, 5, 5), (0.3, 12, 8), (0.2, 1, 1)])
+def test_tree_equals_the_one_grown_level_by_level(spark, share, least, labels):
+    rows = tree_cases()
+    df = spark.createDataFrame(rows, "host string, shape array<string>, pages bigint, labelled bigint")
+    got = urls.template_tree(df, share, least, labels).collect()
+    assert len(got) == len(rows)
+    assert {(r.host, tuple(r.shape)): tuple(r.template) for r in got} == plain_tree(rows, share, least, labels)
+
+
+def test_rounds_do_not_follow_the_depth(spark, monkeypatch):
+    """300 levels, in one long path that branches at its end and as a trap with every depth."""
+    deep = "/".join(["d"] * 300)
+    rows = [(n, f"http://a.org/{deep}/{'bad' if n % 2 else 'good'}/{n}") for n in range(60)]
+    rows += [(100 + n, "http://b.org" + "/loop" * n) for n in range(1, 300)]
+    known = spark.createDataFrame([(n, n % 2) for n in range(60)], NO_LABELS)
+    stored = []
+    real = urls.hand_over
+    monkeypatch.setattr(urls, "hand_over", lambda df, stem: stored.append(stem) or real(df, stem))
+    got = {r.page_id: r for r in urls.filter_urls(pages(spark, rows), known, rules=[]).collect()}
+    assert stored.count("url-nodes") <= 4
+    assert {n for n in range(60) if got[n].verdict == "block"} == set(range(1, 60, 2))
+    assert got[399 - 100].template == "/loop" * 199 and got[399].template == "/loop" * 295 + "/*" * 4
+
+
 def test_empty_labels_and_page_labels(spark):
     none = pages(spark, [])
     assert urls.filter_urls(none, spark.createDataFrame([], NO_LABELS)).count() == 0
