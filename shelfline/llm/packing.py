@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.tables import columns
-from shelfline.llm.tokens import RANKS, VOCABULARY, Encoder
+from shelfline.llm.tokens import RANKS, VOCABULARY, Encoder, added_tokens
 from shelfline.llm.words import text_column
 from shelfline.session import hand_over
 
@@ -54,7 +54,7 @@ def tokenize(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lot = None, 0
         for batch in batches:
-            encoder = encoder or Encoder(vocabulary, ranks)
+            encoder = encoder or Encoder(vocabulary, ranks, added)
             texts = text_column(batch)
             for first in range(0, len(texts), ROWS_AT_ONCE):
                 row, found = [], []
@@ -77,6 +77,7 @@ def tokenize(
                 )
                 lot += len(row)
 
+    added = added_tokens(vocabulary)
     rows = columns(documents, ["doc_id", "text"])
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

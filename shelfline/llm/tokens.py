@@ -14,16 +14,23 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(vocabulary: str = VOCABULARY) -> list[str]:
+    """Names that the vocabulary takes as tokens wherever they stand."""
+    with open(vocabulary, encoding="utf-8") as file:
+        return [token["content"] for token in json.load(file).get("added_tokens", [])]
+
+
 class Encoder:
     """Ids of the `vocabulary` file.  `ranks` is the same vocabulary for a faster library, whose
     ids are equal; texts with characters that two libraries' Unicode tables may class differently
-    (beyond Latin) or with the name of an added token go to the slower one, which defines the
-    ids."""
+    (beyond Latin) or with the name of an `added` token go to the slower one, which defines the
+    ids.  Pass the names along to tasks: reading them takes as much memory as the vocabulary."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, ranks: str = RANKS):
+    def __init__(
+        self, vocabulary: str = VOCABULARY, ranks: str = RANKS, added: list[str] | None = None
+    ):
         self.vocabulary, self.slow = vocabulary, None
-        with open(vocabulary, encoding="utf-8") as file:
-            self.added = [token["content"] for token in json.load(file).get("added_tokens", [])]
+        self.added = added_tokens(vocabulary) if added is None else added
         with open(ranks, "rb") as file:
             pairs = [line.split() for line in file.read().splitlines() if line]
         self.fast = tiktoken.Encoding(
