@@ -129,3 +129,49 @@ def test_constant_and_missing_inputs(spark):
     assert L.predict_non_negative(model, df).select("forecast_net_sales_qty").distinct().first()[0] == 2.0
     with pytest.raises(ValueError, match="no feature"):
         L.train_model(df, ["b"], "y", trees=1)
+
+
+def test_the_driver_gets_a_few_numbers_per_leaf(spark, table, monkeypatch):
+    """Whatever the number of tasks, no histogram reaches the driver."""
+    import pickle
+
+    from pyspark import RDD
+
+    _, df = table
+    got, collect = [], RDD.collect
+    monkeypatch.setattr(BO, "LOCAL_ROWS", 0, raising=False)
+
+    def counted(rdd):
+        found = collect(rdd)
+        got.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    sizes = []
+    for parts in (4, 9):
+        got.clear()
+        spread = hand_over(df.repartition(parts), "spread")
+        monkeypatch.setattr(BO, "store_binned", _in_parts(BO.store_binned, parts))
+        BO.fit_forest(spread, ["a", "b", "c"], "y", 1, 0.1, 6)
+        monkeypatch.undo()
+        monkeypatch.setattr(BO, "LOCAL_ROWS", 0, raising=False)
+        monkeypatch.setattr(RDD, "collect", counted)
+        sizes.append(max(got))
+    assert max(sizes) < 8_000
+
+
+def _in_parts(store, parts):
+    return lambda *args: store(*args).repartition(parts)
+
+
+def test_subtrees_grown_by_one_task_are_the_same(spark, table, monkeypatch):
+    _, df = table
+    fit = lambda: BO.node_rows(BO.fit_forest(df, ["a", "b", "c"], "y", 4, 0.2, 12, depth=5))
+    monkeypatch.setattr(BO, "LOCAL_ROWS", 0)
+    rounds = fit()
+    for least in (100, 300, 1000):
+        monkeypatch.setattr(BO, "LOCAL_ROWS", least)
+        local = fit()
+        assert [r[:7] for r in local] == [r[:7] for r in rounds]
+        values = [[r[7] or 0.0 for r in found] for found in (local, rounds)]
+        assert values[0] == pytest.approx(values[1], rel=1e-9)
