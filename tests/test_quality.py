@@ -163,3 +163,23 @@ def test_daily_sketches_merge_to_the_summary(spark):
     few = Q.summary_of_sketches(sketches.where("of < 3"), df.schema).where("column = 'day'").first()
     assert few["unique_count"] == 3
     assert Q.summary_of_sketches(sketches.where("of > 99"), df.schema).count() == 4
+
+
+def test_summary_queries_take_the_joins_once(spark, tmp_path):
+    """A column's scan reads stored rows: the joins behind the raw rows are no part of its plan."""
+    from checks.queries import QUERIES
+
+    tables = {
+        "lineitem": "(1L, 1L, 'R', 2.0D, 9.0D, DATE'1995-03-01'), (1L, 2L, 'N', 1.0D, 5.0D, DATE'1995-03-02') "
+        "AS t(l_orderkey, l_partkey, l_returnflag, l_quantity, l_extendedprice, l_shipdate)",
+        "orders": "(1L, 7L) AS t(o_orderkey, o_custkey)",
+        "customer": "(7L, 3) AS t(c_custkey, c_nationkey)",
+        "nation": "(3, 'PERU') AS t(n_nationkey, n_name)",
+        "part": "(1L, 'Brand#1', 'STEEL'), (2L, 'Brand#2', 'TIN') AS t(p_partkey, p_brand, p_type)",
+    }
+    for name, values in tables.items():
+        spark.sql(f"SELECT * FROM VALUES {values}").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("data_quality_summary", "data_quality_sketches"):
+        rows = QUERIES[name](spark, str(tmp_path))
+        assert rows.count() == 8
+        assert "l_orderkey" not in executed(rows)
