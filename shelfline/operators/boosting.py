@@ -322,12 +322,24 @@ def _subtrees(
         for n, sent in found.items():
             sent.sort(key=lambda own: own[:2])
             pull = np.concatenate([own[0] for *_, own in sent])
-            rows = [(pull, np.concatenate([own[1] for *_, own in sent], axis=1))]
+            bins = np.concatenate([own[1] for *_, own in sent], axis=1)
+            every = list(range(len(sizes)))
+
+            cells: dict[int, np.ndarray] = {}
 
             def find(grown: Tree, nodes: list[int]) -> dict[int, Node]:
-                cells = _by_node(_sums(rows, sizes, grown, nodes), sizes, len(nodes))
-                every = list(range(len(sizes)))
-                return {k: best_split([try_splits(c, least_rows, every)]) for k, c in zip(nodes, cells)}
+                # The larger of two siblings is the difference to their parent.
+                size = np.bincount(route(grown, bins), minlength=len(grown.value))
+                parent = {c: (at, a + b - c) for at, (a, b) in enumerate(zip(grown.left, grown.right))
+                          if a >= 0 for c in (a, b)}
+                large = {k for k in nodes if k and (-size[k], k) < (-size[parent[k][1]], parent[k][1])}
+                large = {k for k in large if parent[k][1] in nodes}
+                less = [k for k in nodes if k not in large]
+                cells.update(zip(less, _by_node(_sums([(pull, bins)], sizes, grown, less), sizes, len(less))))
+                for k in large:
+                    above, sibling = parent[k]
+                    cells[k] = cells[above] - cells[sibling]
+                return {k: best_split([try_splits(cells[k], least_rows, every)]) for k in nodes}
 
             grown, chosen, nodes = _grown(find, leaves, least_rows, depth - level[wanted[n]])
             kept = {0, *(side for at in chosen for side in (grown.left[at], grown.right[at]))}
